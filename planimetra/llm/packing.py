@@ -17,13 +17,16 @@ are ignored. Every token lies in exactly one piece.
 
 from __future__ import annotations
 
+import functools
 import heapq
+import json
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,31 +35,61 @@ from .runtime import materialise
 LIMIT, END = 4096, 2
 #: About as many rows of a length are numbered in one group.
 BUCKET = 20_000
-#: Different words whose tokens a task keeps at most; then it starts anew.
-CACHED_WORDS = 300_000
+#: Words, and runs of letters or marks, whose tokens a worker keeps at most.
+CACHED_WORDS, CACHED_RUNS = 250_000, 400_000
+
+_SPACE = re.compile(r"[ \t-\r]+")
+# How this vocabulary's tokenizer splits lower-case text, and the characters for
+# which its other steps (composition, lower case by character) have nothing else to do.
+_RUN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_SIMPLE = re.compile(r"[!-~\u00c0-\u012f\u0131-\u017f]+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that byte-level vocabularies write for each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
 
 
 class Words(dict):
-    """Token ids of words as little-endian bytes, each word tokenised once.
+    """Token ids of words as little-endian bytes.
 
     The vocabulary never joins characters over white space, so a text's ids are its words' ids.
+    A new word is split into runs, most of which are known; only new runs are merged. A full
+    cache of words takes no more (frequent words come early), one of runs starts anew.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.runs, self.letters = Tokenizer.from_file(path), {}, _byte_letters()
         self.tokenizer.encode_special_tokens = True
+        pre = json.loads(self.tokenizer.to_str())["pre_tokenizer"]
+        self.by_runs = [x.get("pattern", {}).get("Regex") for x in pre.get("pretokenizers", [])][:1] == [_RUN.pattern]
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = ids
+        if self.by_runs and _SIMPLE.fullmatch(word):
+            ids = b"".join(self.runs.get(r) or self._merged(r) for r in _RUN.findall(word.lower()))
+        else:
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self) < CACHED_WORDS:
+            self[word] = ids
         return ids
 
+    def _merged(self, run: str) -> bytes:
+        letters = run.encode("utf-8").decode("latin-1").translate(self.letters)
+        ids = np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
+        if len(self.runs) >= CACHED_RUNS:
+            self.runs.clear()
+        self.runs[run] = ids
+        return ids
 
-_SPACE = re.compile(r"[ \t-\r]+")
+
+@functools.cache
+def _words(path: str) -> Words:
+    """Shared by the tasks of a worker."""
+    return Words(path)
 
 
 def tokenised(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end: int = END, with_ids: bool = False) -> DataFrame:
@@ -65,7 +98,7 @@ def tokenised(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end: int = EN
     schema = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, mark = Words(tokenizer), np.array([end], "<u4").tobytes()
+        words, mark = _words(tokenizer), np.array([end], "<u4").tobytes()
         for batch in batches:
             ids, rows = batch.column(0), []
             for k, text in enumerate(batch.column(1)):
