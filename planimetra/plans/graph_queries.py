@@ -159,7 +159,7 @@ def graph_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # hierarchies
 
-_REC = f"""with recursive {tb.TREE_SQL}, rel(node, parent, depth, path, key) as (select node, parent, 0, [node], [] from t where parent is null
+_REC = f"""with recursive {tb.TREE_SQL}, rel(node, parent, depth, path, key) as (select node, parent, 0, [node], []::bigint[] from t where parent is null
     union all select t.node, t.parent, depth + 1, list_append(path, t.node), list_append(key, t.ord) from rel join t on t.parent = rel.node)"""
 _CLOSURE = _REC + ", c as (select unnest(path) as top, node, depth from rel)"
 
@@ -203,7 +203,7 @@ _PAIRS = "pr as (select 'c' || c_custkey as a, 'c' || (c_custkey + 1) as b from
 
 
 def _pairs(spark: SparkSession) -> DataFrame:
-    own = spark.range(1, 100).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("a"), F.concat(F.lit("c"), (F.col("id") + 1).cast("string")).alias("b"))
+    own = spark.range(100).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("a"), F.concat(F.lit("c"), (F.col("id") + 1).cast("string")).alias("b"))
     return own.union(spark.createDataFrame([("c1", "w"), ("n1", "n1")], "a string, b string"))
 
 

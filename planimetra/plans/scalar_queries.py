@@ -156,9 +156,9 @@ _EDGES = (("a - c - 1", "b", "a", "b - d - 1"), ("a", "b - d - 1", "a + c + 1",
 _KITE_D = f"case when {_KITE_IN.format('f', 'h')} then 0 else least(" + ", ".join(_psd("f", "h", *k) for k in _EDGES) + ") end"
 
 
-@query(_sql(to_point=_r(_KITE_D), to_circle=_r(f"greatest(0, {_KITE_D} - e)"), meets=f"({_KITE_D}) <= e"))
+@query(_sql(to_point=_r(_KITE_D), to_circle=_r(f"greatest(0, {_KITE_D} - e - 1)"), meets=f"({_KITE_D}) <= e + 1"))
 def polygon_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, k = _kite(), circle.circle(f, h, e)
+    p, k = _kite(), circle.circle(f, h, F.col("e") + 1)
     return _rows(spark, sf_dir, to_point=r4(polygon.distance_to_point(p, v.point(f, h))), to_circle=r4(polygon.distance_to_circle(p, k)), meets=polygon.overlaps_circle(p, k))
 
 
@@ -173,10 +173,10 @@ _ANG = "case when atan2(f - b, h - a) < 0 then atan2(f - b, h - a) + 2 * pi() el
 _SD = "sqrt((h - a) * (h - a) + (f - b) * (f - b))"
 
 
-@query(_sql(area=_r("g * (pow(c + e + 1, 2) - c * c) / 2"), perimeter=_r("(c + c + e + 1) * g + 2 * (e + 1)"), mx=_r("a + (c + c + e + 1) / 2 * cos(j + g / 2)"), holds=f"{_SD} >= c and {_SD} <= c + e + 1 and {_PM.format(_ANG + ' - j')} <= g", ends=_r("j + g")))
+@query(_sql(area=_r("(g + 1) * (pow(c + e + 1, 2) - c * c) / 2"), perimeter=_r("(c + c + e + 1) * (g + 1) + 2 * (e + 1)"), mx=_r("a + (c + c + e + 1) / 2 * cos(j + (g + 1) / 2)"), holds=f"{_SD} >= c and {_SD} <= c + e + 1 and {_PM.format(_ANG + ' - j')} <= g + 1", ends=_r("j + g + 1")))
 def sector_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = sector.sector(a, b, c, F.col("c") + F.col("e") + 1, j, g)
-    return _rows(spark, sf_dir, area=r4(sector.area(s)), perimeter=r4(sector.perimeter(s)), mx=r4(sector.centroid(s)["x"]), holds=sector.contains_point(s, v.point(h, f), eps=0.0) & (F.col("g") > 0), ends=r4(sector.end_angle(s)))
+    s = sector.sector(a, b, c, F.col("c") + F.col("e") + 1, j, F.col("g") + 1)
+    return _rows(spark, sf_dir, area=r4(sector.area(s)), perimeter=r4(sector.perimeter(s)), mx=r4(sector.centroid(s)["x"]), holds=sector.contains_point(s, v.point(h, f), eps=0.0), ends=r4(sector.end_angle(s)))
 
 
 @query()

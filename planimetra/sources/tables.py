@@ -28,14 +28,14 @@ def part_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id and ten numbers a to j for each customer, spread over small ranges without ties."""
-    k, u = F.col("c_custkey"), F.col("c_acctbal") / 10000
+    k, u = F.col("c_custkey"), F.col("c_acctbal") / 9973
     number = lambda m, c: ((k % m).cast("double") + u * c)
     return table(spark, sf_dir, "customer").select(k.alias("id"), *(number(m, c).alias(n) for n, m, c in SHAPE_NUMBERS))
 
 
-#: name, modulus and factor of each number: (key % modulus) + factor * balance / 10000.
+#: name, modulus and factor of each number: (key % modulus) + factor * balance / 9973.
 SHAPE_NUMBERS = (("a", 13, 0.71), ("b", 11, 0.37), ("c", 7, 1.13), ("d", 17, 0.53), ("e", 5, 0.91), ("f", 19, 0.29), ("g", 3, 0.83), ("h", 23, 0.41), ("i", 29, 0.67), ("j", 2, 0.59))
-SHAPES_SQL = "s as (select c_custkey as id, " + ", ".join(f"(c_custkey % {m})::double + (c_acctbal / 10000) * {c}::double as {n}" for n, m, c in SHAPE_NUMBERS) + " from customer)"
+SHAPES_SQL = "s as (select c_custkey as id, " + ", ".join(f"(c_custkey % {m})::double + (c_acctbal / 9973) * {c}::double as {n}" for n, m, c in SHAPE_NUMBERS) + " from customer)"
 
 
 def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
