@@ -55,7 +55,8 @@ def _byte_letters() -> dict[int, int]:
 class Words(dict):
     """Token ids of words as little-endian bytes.
 
-    The vocabulary never joins characters over white space, so a text's ids are its words' ids.
+    The vocabulary never joins characters over white space, so a text's ids are its words' ids;
+    its special tokens have none in them, and are recognised where a text spells them out.
     A new word is split into runs, most of which are known; only new runs are merged. A full
     cache of words takes no more (frequent words come early), one of runs starts anew.
     """
@@ -64,12 +65,12 @@ class Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.runs, self.letters = Tokenizer.from_file(path), {}, _byte_letters()
-        self.tokenizer.encode_special_tokens = True
-        pre = json.loads(self.tokenizer.to_str())["pre_tokenizer"]
+        known = json.loads(self.tokenizer.to_str())
+        pre, self.special = known["pre_tokenizer"], [x["content"] for x in known["added_tokens"]]
         self.by_runs = [x.get("pattern", {}).get("Regex") for x in pre.get("pretokenizers", [])][:1] == [_RUN.pattern]
 
     def __missing__(self, word: str) -> bytes:
-        if self.by_runs and _SIMPLE.fullmatch(word):
+        if self.by_runs and _SIMPLE.fullmatch(word) and not any(s in word for s in self.special):
             ids = b"".join(self.runs.get(r) or self._merged(r) for r in _RUN.findall(word.lower()))
         else:
             ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()

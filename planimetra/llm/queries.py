@@ -23,7 +23,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_duplicates(_documents(spark, sf_dir))
+    return exact_dedup.exact_duplicates(_documents(spark, sf_dir)).drop("n_chunks")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,5 +61,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: query for name, query in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
+#: Rows that agree in doc_id don't occur in the tables; the numbering keeps one of them anyway.
+OP3_SQL = r"""with n as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents)
+    select doc_id, min(doc_id) over same as keep_id, count(*) over same as group_size, row_number() over (partition by text_sha256 order by doc_id) = 1 as kept, text_sha256
+    from n window same as (partition by text_sha256)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_exact_dedup": OP3_SQL}
