@@ -70,9 +70,8 @@ def _table_size(b: Column) -> Column:
 
 def lengths(b: Column) -> Column:
     """Running sums of the chords at equal steps of t, from 0 on: the arc-length table."""
-    n = _table_size(b)
-    points = F.transform(F.sequence(F.lit(0), n), lambda i: point_at(b, i / n.cast("double")))
-    chords = F.zip_with(F.slice(points, F.lit(1), F.size(points) - 1), F.slice(points, F.lit(2), F.size(points)), lambda p, q: v.distance(p, q))
+    points = _let(_table_size(b), lambda n: F.transform(F.sequence(F.lit(0), n), lambda i: point_at(b, i / n.cast("double"))))
+    chords = _let(points, lambda p: F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p)), lambda a, b: v.distance(a, b)))
     return F.aggregate(chords, F.array(F.lit(0.0)), lambda sums, d: F.concat(sums, F.array(F.element_at(sums, -1) + d)))
 
 
@@ -80,19 +79,27 @@ def length(b: Column) -> Column:
     return F.element_at(lengths(b), -1)
 
 
+def _let(value: Column, use) -> Column:
+    """use(value) with the value worked out once, however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def t_at_length(b: Column, at: Column | float) -> Column:
     """The parameter at a length along the curve, between the table's entries; ends are clamped."""
     at = at if isinstance(at, Column) else F.lit(float(at))
-    table = lengths(b)
-    n = (F.size(table) - 1).cast("double")
-    k = F.size(F.filter(table, lambda s: s <= at))
-    low = F.element_at(table, F.greatest(k, F.lit(1)))
-    high = F.element_at(table, F.least(k + 1, F.size(table)))
-    return F.when(at <= 0, F.lit(0.0)).when(k >= F.size(table), F.lit(1.0)).otherwise((k - 1 + F.coalesce(F.try_divide(at - low, high - low), F.lit(0.0))) / n)
+
+    def found(s: Column) -> Column:
+        table, at = s["table"], s["at"]
+        n, k = (F.size(table) - 1).cast("double"), F.size(F.filter(table, lambda x: x <= at))
+        low = F.element_at(table, F.greatest(k, F.lit(1)))
+        high = F.element_at(table, F.least(k + 1, F.size(table)))
+        return F.when(at <= 0, F.lit(0.0)).when(k >= F.size(table), F.lit(1.0)).otherwise((k - 1 + F.coalesce(F.try_divide(at - low, high - low), F.lit(0.0))) / n)
+
+    return _let(F.struct(lengths(b).alias("table"), at.alias("at")), found)
 
 
 def point_at_length(b: Column, at: Column | float) -> Column:
-    return point_at(b, t_at_length(b, at))
+    return _let(t_at_length(b, at), lambda t: point_at(b, t))
 
 
 def tangent_at_length(b: Column, at: Column | float) -> Column:
