@@ -307,7 +307,8 @@ class Graph:
     def max_matching(self) -> DataFrame:
         """u, v: a greatest matching of a bipartite graph whose edges lead from one side to the
         other. Rounds of shortest augmenting paths from all free vertices at once; of the paths
-        found, those that share no vertex are taken."""
+        found, those that share no vertex are taken. Ties go by a hash, so that the ends spread
+        over the free vertices and a round takes many paths."""
         edges = cut(self.given.select(F.col("src").alias("u"), F.col("dst").alias("v")).distinct())
         mates = None
         while True:
@@ -317,21 +318,22 @@ class Graph:
                 return mates if mates is not None else edges.limit(0)
             on = cut(found.select(F.explode(F.expr("filter(path, (x, i) -> i % 2 = 0)")).alias("e")).select("e.u", "e.v"))
             kept = mates if mates is None else mates.join(on.select("u"), "u", "left_anti").join(on.select("v"), "v", "left_anti")
-            mates = cut(on if kept is None else kept.union(on))
+            mates = cut(on if kept is None else kept.unionByName(on))
 
     def _alternating(self, edges: DataFrame, mates: DataFrame | None, free: DataFrame) -> DataFrame | None:
         kind = f"struct<u:{edges.schema['u'].dataType.simpleString()},v:{edges.schema['v'].dataType.simpleString()}>"
+        turn = F.struct(F.xxhash64("path").alias("key"), "path")
         front = cut(free.select("u", F.array().cast(f"array<{kind}>").alias("path")))
         seen = None
         while not front.isEmpty():
             step = front.join(edges, "u").select("v", F.concat("path", F.array(F.struct("u", "v"))).alias("path"))
             if seen is not None:
                 step = step.join(seen, "v", "left_anti")
-            step = cut(step.groupBy("v").agg(F.min("path").alias("path")))
+            step = cut(step.groupBy("v").agg(F.min(turn).alias("first")).select("v", "first.path"))
             ends = step if mates is None else cut(step.join(mates.select("v"), "v", "left_anti"))
             if not ends.isEmpty():
                 touched = ends.select("path", F.explode("path").alias("e")).select("path", F.explode(F.array(F.concat(F.lit("u"), F.col("e.u").cast("string")), F.concat(F.lit("v"), F.col("e.v").cast("string")))).alias("x")).distinct()
-                first = touched.groupBy("x").agg(F.min("path").alias("first"))
+                first = touched.groupBy("x").agg(F.min(turn)["path"].alias("first"))
                 return touched.join(first, "x").groupBy("path").agg(F.min(F.col("first") == F.col("path")).alias("own")).where("own").select("path")
             seen = step.select("v") if seen is None else seen.union(step.select("v"))
             if mates is None:
