@@ -3,14 +3,13 @@
 Four patterns find parts in a text: assignments, access identifiers, hexadecimal keys, and
 weaker ones (other assignments, user names, mixed tokens, endpoints). The pieces between a
 pattern's matches give the matches' positions by a running sum. Strong parts, the base
-spans, are always reported. The others are joined by interval within their scope (a block of
-text between blank lines): a part is linked to the parts of other roles that start within
-REACH characters, and reported only if the parts that complete it are there:
+spans, are always reported. The others are linked within their scope (a block of text between
+blank lines), however far apart, and reported only if the parts that complete them are there:
 
 * weak_access (an identifier): a secret;  * weak_assign (a weak secret): an identifier or an endpoint;
 * weak_token (a bare token): an identifier;  * endpoint: an identifier and a secret.
 
-The interval join is a range frame over the starts in a scope, so no pairs are made.
+The link is a count by role over the scope, so no pairs are made.
 
 Defined cases: a null text counts as empty and has no spans; rows that repeat a doc_id are
 told apart by their texts, equal rows give equal results, one for each; other columns are
@@ -40,7 +39,6 @@ BLANK_LINE = r"\n[\x20\t\r]*\n\s*"
 
 #: The kinds in the order of the report; the first three are base spans.
 KINDS = ("assign", "access", "hex", "weak_access", "weak_assign", "weak_token", "endpoint")
-REACH = 400
 
 
 def _matches(pattern: str, number: int, kind, only=None) -> Column:
@@ -86,18 +84,18 @@ def parts(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text_key", "copies", "pass", (end - F.col("length")).alias("start"), end.alias("end"), "kind", "value")
 
 
-def linked(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """parts with the columns scope, ids, secrets, endpoints (those near) and reported."""
+def linked(docs: DataFrame) -> DataFrame:
+    """parts with the columns scope, ids, secrets, endpoints (those in the scope) and reported."""
     doc = Window.partitionBy("doc_id", "text_key").orderBy("start", "pass", "end")
     rows = parts(docs).withColumn("scope", F.sum((F.col("pass") == 5).cast("int")).over(doc))
     base = F.col("kind").isin(*KINDS[:3])
     # a weak part on a base span says nothing new; neither does the same place twice
-    near = Window.partitionBy("doc_id", "text_key").orderBy("start")
+    later = Window.partitionBy("doc_id", "text_key").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     covered = F.coalesce(F.max(F.when(base, F.col("end"))).over(doc.rowsBetween(Window.unboundedPreceding, -1)) > F.col("start"), F.lit(False))
-    covered |= F.coalesce(F.min(F.when(base, F.col("start"))).over(near.rangeBetween(0, reach)) < F.col("end"), F.lit(False))
+    covered |= F.coalesce(F.min(F.when(base, F.col("start"))).over(later) < F.col("end"), F.lit(False))
     covered |= F.coalesce(F.max(F.when(F.col("kind").isNotNull(), F.col("end"))).over(doc.rowsBetween(Window.unboundedPreceding, -1)) > F.col("start"), F.lit(False))
     rows = rows.withColumn("kind", F.when(base | ~covered, F.col("kind")))
-    around = Window.partitionBy("doc_id", "text_key", "scope").orderBy("start").rangeBetween(-reach, reach)
+    around = Window.partitionBy("doc_id", "text_key", "scope")
     count = lambda *kinds: F.sum(F.col("kind").isin(*kinds).cast("int")).over(around)
     rows = rows.withColumn("ids", count("access", "weak_access")).withColumn("secrets", count("assign", "hex", "weak_assign", "weak_token")).withColumn("endpoints", count("endpoint"))
     kind, has = F.col("kind"), lambda name: F.coalesce(F.col(name) > 0, F.lit(False))
@@ -105,11 +103,11 @@ def linked(docs: DataFrame, reach: int = REACH) -> DataFrame:
     return rows.withColumn("reported", F.coalesce(base | complete, F.lit(False)))
 
 
-def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
+def scan(docs: DataFrame) -> DataFrame:
     """One row for each document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked."""
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     span = F.when(F.col("reported"), F.struct("start", order.alias("order"), F.concat_ws(":", "kind", "start", "end").alias("span")))
-    rows = linked(docs, reach).groupBy("doc_id", "text_key").agg(
+    rows = linked(docs).groupBy("doc_id", "text_key").agg(
         *(F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{k}") for k in KINDS[:3]),
         F.array_sort(F.collect_list(span)).alias("found"),
         F.max("copies").alias("copies"),
@@ -120,6 +118,6 @@ def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
     return out.drop("copy")
 
 
-def credentials(docs: DataFrame, reach: int = REACH) -> DataFrame:
+def credentials(docs: DataFrame) -> DataFrame:
     """A row for each reported span: doc_id, start, end, kind, value, scope, ids, secrets, endpoints."""
-    return linked(docs, reach).where("reported").select("doc_id", "start", "end", "kind", "value", "scope", "ids", "secrets", "endpoints")
+    return linked(docs).where("reported").select("doc_id", "start", "end", "kind", "value", "scope", "ids", "secrets", "endpoints")
