@@ -70,9 +70,10 @@ NATION_EDGES_SQL = """ne as (select a.n_nationkey as src, b.n_nationkey as dst,
     from nation a join nation b on a.n_regionkey = b.n_regionkey where a.n_nationkey < b.n_nationkey)"""
 
 
-def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, dst: parts that follow each other in an order's larger lines; undirected, sparse."""
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity >= 45")
+def part_edges(spark: SparkSession, sf_dir: str, least_quantity: float | None = 45) -> DataFrame:
+    """src, dst: parts that follow each other in an order's lines, the larger ones or all (None); undirected."""
+    rows = table(spark, sf_dir, "lineitem")
+    rows = rows if least_quantity is None else rows.where(F.col("l_quantity") >= least_quantity)
     w = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber")
     rows = rows.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"))
     return rows.where("dst is not null and src <> dst").select("src", "dst", F.lit(1.0).alias("weight"))

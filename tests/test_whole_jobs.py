@@ -77,3 +77,31 @@ def test_secret_scan_links_over_the_whole_scope(spark):
     assert kinds(3) == []
     assert kinds(4) == ["hex", "weak_access"]
     assert [found[k].n_linked for k in range(5)] == [2, 3, 2, 0, 1]
+
+
+def least_of_component(vertices, edges) -> dict:
+    """Union-find."""
+    top = {v: v for v in vertices}
+
+    def find(v):
+        while top[v] != v:
+            top[v] = top[top[v]]
+            v = top[v]
+        return v
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        top[b] = a
+    return {v: find(v) for v in top}
+
+
+def test_graph_components_all_has_every_line(spark, con, tmp_path):
+    lines = [(1, 10, 1.0), (1, 11, 2.0), (2, 11, 50.0), (2, 12, 1.0), (3, 20, 50.0), (3, 21, 49.0), (4, 30, 3.0), (5, 40, 44.0), (5, 40, 44.0)]
+    rows = [(o, p, 1, 1, q) for o, p, q in lines]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = {r.id: r.component for r in QUERIES["graph_components_all"](spark, str(tmp_path)).collect()}
+    assert found == {10: 10, 11: 10, 12: 10, 20: 20, 21: 20, 30: 30, 40: 40}
+    lines = con.execute("select l_orderkey, l_partkey from lineitem order by all").fetchall()
+    edges = [(a[1], b[1]) for a, b in zip(lines, lines[1:], strict=False) if a[0] == b[0]]
+    found = {r.id: r.component for r in QUERIES["graph_components_all"](spark, SF_DIR).collect()}
+    assert found == least_of_component({p for _, p in lines}, edges)
