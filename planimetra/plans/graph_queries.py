@@ -15,6 +15,10 @@ def _trade(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(tb.trade_edges(spark, sf_dir))
 
 
+def _all_trade(spark: SparkSession, sf_dir: str, directed: bool = True) -> Graph:
+    return Graph(tb.trade_pairs(spark, sf_dir), directed=directed)
+
+
 def _nations(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(tb.nation_edges(spark, sf_dir), directed=False)
 
@@ -96,9 +100,44 @@ def graph_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _trade(spark, sf_dir).bfs(0).select("id", "level")
 
 
+# the same over all trade pairs: the SQL above has each nation's top three and paths of up to eight edges
+
+
+@query()
+def graph_path_to_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _all_trade(spark, sf_dir)
+    ids = g.vertices
+    return g.paths_to(ids.select(F.col("id").alias("src")).join(ids.select(F.col("id").alias("dst")), F.col("dst") < F.col("src")))
+
+
+@query()
+def graph_dijkstra_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _all_trade(spark, sf_dir).dijkstra(0).select("id", "dist")
+
+
+@query()
+def graph_dijkstra_pair_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _all_trade(spark, sf_dir).dijkstra_pair(0, 17).select("id", "dist")
+
+
+@query()
+def graph_bellman_ford_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _all_trade(spark, sf_dir).bellman_ford(0).select("id", "dist")
+
+
+@query()
+def graph_a_star_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _all_trade(spark, sf_dir).a_star(0, 11).select("id", "dist")
+
+
+@query()
+def graph_bfs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _all_trade(spark, sf_dir).bfs(0).select("id", "level")
+
+
 @query()
 def graph_dfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _trade(spark, sf_dir).dfs(0)
+    return _all_trade(spark, sf_dir).dfs(0)
 
 
 @query(f"""with recursive {tb.PART_EDGES_SQL}, e as (select src, dst from pe union select dst, src from pe), r(id, reach) as (select src, src from e union select r.id, e.dst from r join e on r.reach = e.src)
@@ -148,8 +187,7 @@ def graph_forest_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def graph_prim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = Graph(tb.trade_edges(spark, sf_dir), directed=False)
-    return g.prim(0)
+    return _all_trade(spark, sf_dir, directed=False).prim(0)
 
 
 @query()

@@ -38,13 +38,18 @@ SHAPE_NUMBERS = (("a", 13, 0.71), ("b", 11, 0.37), ("c", 7, 1.13), ("d", 17, 0.5
 SHAPES_SQL = "s as (select c_custkey as id, " + ", ".join(f"(c_custkey % {m})::double + (c_acctbal / 9973) * {c}::double as {n}" for n, m, c in SHAPE_NUMBERS) + " from customer)"
 
 
-def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, dst, weight: lines between customers' and suppliers' nations, the top three of each src."""
+def trade_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst, weight: lines between customers' and suppliers' nations, all pairs of two."""
     t = lambda n: table(spark, sf_dir, n)
     lines = t("lineitem").select("l_orderkey", "l_suppkey").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     lines = lines.join(t("customer").select("c_custkey", F.col("c_nationkey").alias("src")), F.col("o_custkey") == F.col("c_custkey"))
     lines = lines.join(t("supplier").select("s_suppkey", F.col("s_nationkey").alias("dst")), F.col("l_suppkey") == F.col("s_suppkey"))
-    pairs = lines.where("src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+    return lines.where("src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+
+
+def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst, weight: the top three trade_pairs of each src."""
+    pairs = trade_pairs(spark, sf_dir)
     top = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst"))
     return pairs.withColumn("rn", top).where("rn <= 3").drop("rn")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import os
 import random
 
@@ -105,3 +106,53 @@ def test_graph_components_all_has_every_line(spark, con, tmp_path):
     edges = [(a[1], b[1]) for a, b in zip(lines, lines[1:], strict=False) if a[0] == b[0]]
     found = {r.id: r.component for r in QUERIES["graph_components_all"](spark, SF_DIR).collect()}
     assert found == least_of_component({p for _, p in lines}, edges)
+
+
+@pytest.fixture(scope="module")
+def trade(con) -> dict:
+    """(src, dst): weight, of all pairs of nations."""
+    rows = con.execute("""select c_nationkey, s_nationkey, count(*) from lineitem join orders on l_orderkey = o_orderkey
+        join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey where c_nationkey <> s_nationkey group by 1, 2""").fetchall()
+    return {(a, b): float(w) for a, b, w in rows}
+
+
+def nearest(edges: dict, start, cost) -> dict:
+    """Dijkstra with a heap."""
+    done, heap = {}, [(0, start)]
+    while heap:
+        d, v = heapq.heappop(heap)
+        if v not in done:
+            done[v] = d
+            for (a, b), w in edges.items():
+                if a == v and b not in done:
+                    heapq.heappush(heap, (d + cost(w), b))
+    return done
+
+
+def test_trade_paths_over_all_pairs(spark, trade):
+    dist, level = nearest(trade, 0, lambda w: w), nearest(trade, 0, lambda w: 1)
+    rows = lambda name: {r[0]: r[1] for r in QUERIES[name](spark, SF_DIR).collect()}
+    assert rows("graph_dijkstra_all") == rows("graph_bellman_ford_all") == dist
+    assert rows("graph_dijkstra_pair_all") == ({17: dist[17]} if 17 in dist else {})
+    assert rows("graph_a_star_all") == ({11: dist[11]} if 11 in dist else {})
+    assert rows("graph_bfs_all") == level
+    assert sorted(map(tuple, QUERIES["graph_path_to_all"](spark, SF_DIR).collect())) == sorted((a, b) for a, b in trade if b < a)
+
+
+def test_trade_walks_and_trees_over_all_pairs(spark, trade):
+    order, seen = [], set()
+
+    def visit(v) -> None:
+        seen.add(v)
+        order.append(v)
+        for b in sorted(b for a, b in trade if a == v):
+            if b not in seen:
+                visit(b)
+
+    visit(0)
+    assert [r.id for r in sorted(QUERIES["graph_dfs"](spark, SF_DIR).collect(), key=lambda r: r.ord)] == order
+    tree, taken = [], {0}
+    while edges := [(w, min(e), max(e)) for e, w in trade.items() if len(taken & set(e)) == 1]:
+        tree.append(min(edges))
+        taken |= set(tree[-1][1:])
+    assert sorted((r.weight, r.src, r.dst) for r in QUERIES["graph_prim"](spark, SF_DIR).collect()) == sorted(tree)
