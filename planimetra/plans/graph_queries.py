@@ -330,3 +330,47 @@ def tree_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_CLOSURE}, a as (select top as node, count(*) - 1 as descendant_count, max(depth) as deepest from c group by top) select rel.node, rel.depth, (deepest - rel.depth)::int as height, descendant_count from rel join a on a.node = rel.node where rel.depth < 3")
 def tree_compute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tree(spark, sf_dir).compute().where("depth < 3").select("node", "depth", "height", "descendant_count")
+
+
+# the same over the whole hierarchy, without SQL; traversals give the sort key instead of a rank
+
+
+def _all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer and the next."""
+    name = lambda k: F.concat(F.lit("c"), k.cast("string"))
+    return tb.table(spark, sf_dir, "customer").select(name(F.col("c_custkey")).alias("a"), name(F.col("c_custkey") + 1).alias("b"))
+
+
+@query()
+def tree_lca_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tree(spark, sf_dir).lca(_all_pairs(spark, sf_dir))
+
+
+@query()
+def tree_find_path_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tree(spark, sf_dir).find_path(_all_pairs(spark, sf_dir)).select("a", "b", F.array_join("path", ">").alias("path"))
+
+
+@query()
+def tree_preorder_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tree(spark, sf_dir).preorder()
+
+
+@query()
+def tree_postorder_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tree(spark, sf_dir).postorder()
+
+
+@query()
+def tree_level_order_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tree(spark, sf_dir).level_order()
+
+
+@query()
+def tree_ends_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tree(spark, sf_dir).ends()
+
+
+@query()
+def tree_compute_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tree(spark, sf_dir).compute().select("node", "depth", "height", "descendant_count")

@@ -156,3 +156,39 @@ def test_trade_walks_and_trees_over_all_pairs(spark, trade):
         tree.append(min(edges))
         taken |= set(tree[-1][1:])
     assert sorted((r.weight, r.src, r.dst) for r in QUERIES["graph_prim"](spark, SF_DIR).collect()) == sorted(tree)
+
+
+def test_trees_with_all_customers(spark, con):
+    below, above = {}, {}
+    for node, parent in con.execute("""select * from (select 'r' || r_regionkey, 'w' from region order by r_regionkey) union all
+            select * from (select 'n' || n_nationkey, 'r' || n_regionkey from nation order by n_nationkey) union all
+            select * from (select 'c' || c_custkey, 'n' || c_nationkey from customer order by c_custkey)""").fetchall():
+        below.setdefault(parent, []).append(node)
+        above[node] = parent
+    for nodes in below.values():
+        nodes.sort(key=lambda x: int(x[1:]))
+    pre, post, facts = [], [], {}
+
+    def visit(node, depth) -> tuple:
+        pre.append(node)
+        parts = [visit(x, depth + 1) for x in below.get(node, [])]
+        post.append(node)
+        height, count = max((h + 1 for h, _, _, _ in parts), default=0), sum(n + 1 for _, n, _, _ in parts)
+        facts[node] = (depth, height, count, parts[0][2] if parts else node, parts[-1][3] if parts else node)
+        return height, count, *facts[node][3:]
+
+    def up(node) -> list:
+        return [node, *(up(above[node]) if node in above else [])]
+
+    visit("w", 0)
+    rows = lambda name: QUERIES[name](spark, SF_DIR).collect()
+    assert [r.node for r in sorted(rows("tree_preorder_all"), key=lambda r: r.places)] == pre
+    assert [r.node for r in sorted(rows("tree_postorder_all"), key=lambda r: r.key)] == post
+    assert [r.node for r in sorted(rows("tree_level_order_all"), key=lambda r: (r.depth, r.places))] == sorted(pre, key=lambda x: facts[x][0])
+    assert {r.node: (r.depth, r.height, r.descendant_count) for r in rows("tree_compute_all")} == {k: v[:3] for k, v in facts.items()}
+    assert {r.node: (r.leaf_left, r.leaf_right) for r in rows("tree_ends_all")} == {k: v[3:] for k, v in facts.items()}
+    pairs = [(x, f"c{int(x[1:]) + 1}") for x in pre if x[0] == "c" and f"c{int(x[1:]) + 1}" in facts]
+    lca = {(a, b): next(x for x in up(a) if x in up(b)) for a, b in pairs}
+    path = {(a, b): ">".join(up(a)[: up(a).index(t) + 1] + up(b)[: up(b).index(t)][::-1]) for (a, b), t in lca.items()}
+    assert {(r.a, r.b): r.lca for r in rows("tree_lca_all")} == lca
+    assert {(r.a, r.b): r.path for r in rows("tree_find_path_all")} == path
