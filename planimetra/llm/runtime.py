@@ -17,11 +17,15 @@ BROADCAST_ROWS = 500_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder of spark.checkpoint.dir; choose one only where none is set (tests)."""
+    """Use the folder of spark.checkpoint.dir; choose one only where none is set and the
+    executors share this machine (tests). On a cluster an unset folder is an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -48,6 +52,26 @@ def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Rows of one key that a join meets in one part; keys with more are split.
+HUB = 256
+
+
+def hubs(rows: DataFrame, key: str) -> DataFrame:
+    """key, fan: the values of a key that more than HUB rows have, and into how many parts to
+    split them. There are at most a HUB-th as many as rows, so they are mostly broadcast."""
+    heavy = rows.groupBy(key).agg(F.count("*").alias("held")).where(F.col("held") > HUB)
+    return small_or_not(materialise(heavy.select(key, F.ceil(F.col("held") / HUB).cast("int").alias("fan"))))
+
+
+def join_split(rows: DataFrame, table: DataFrame, key: str, by: str, heavy: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined to table, which has a row for each value of key at most. A value in `heavy`
+    (of hubs) is met in parts: its rows are dealt by the column `by`, its table row is repeated."""
+    fan = F.coalesce("fan", F.lit(1))
+    dealt = rows.join(heavy, key, "left").withColumn("part", F.pmod(F.xxhash64(by), fan).cast("int")).drop("fan")
+    repeated = table.join(heavy, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), fan - 1))).drop("fan")
+    return dealt.join(repeated, [key, "part"], how).drop("part")
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
