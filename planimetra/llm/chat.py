@@ -1,9 +1,9 @@
 """Chat formatting in budgeted windows.
 
-Running sums of the turns' tokens choose turn-aligned windows: a window opens with the
-conversation's system turn and up to HISTORY of the turns before it, and takes turns while
-the sum of the new ones stays within BUDGET. Repeated turns are masked, so each assistant
-text is a target exactly once.
+Running sums of the turns' tokens (those of a tokenizer, or words) choose turn-aligned windows:
+a window opens with the conversation's system turn and up to HISTORY of the turns before it,
+and takes turns while the sum of the new ones stays within BUDGET. Repeated turns are masked,
+so each assistant text is a target exactly once.
 
 A window reads  <s>[INST]role[/INST]text</s>[INST]role[/INST]text</s>...  Control strings in
 roles and texts get one backslash after their first character, those that have backslashes
@@ -15,8 +15,8 @@ conversation.
 
 Defined cases: a null text or role counts as empty; equal turn numbers are ordered by role
 and text; repeated rows are turns of their own; a null conv_id is a conversation like any
-other; a turn longer than the budget is a window of its own; an empty table gives no windows;
-other columns are ignored.
+other; a turn longer than the budget, however long, is a window of its own and is never cut;
+an empty table gives no windows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,10 +26,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Tokens (words and one for the marks) of a window's new turns, and of its history and the most turns of that.
+from .packing import token_count
+
+#: Tokens (with one for the marks) of a window's new turns, and of its history and the most turns of that.
 BUDGET, HISTORY_TOKENS, HISTORY = 512, 128, 2
 
 _CONTROL = re.compile(r"([<\[])(\\*)(/?(?:s>|INST\]))")
@@ -96,12 +98,19 @@ class _Writer:
 _WINDOW = "window long, repeated long, turns long, text string, loss_start array<long>, loss_length array<long>"
 
 
-def windows(conversations: DataFrame) -> DataFrame:
+def _tokens(tokenizer: str | None) -> Column:
+    if tokenizer is None:
+        return F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
+    return F.pandas_udf(lambda texts: texts.map(lambda text: token_count(text, tokenizer)), "long")("text")
+
+
+def windows(conversations: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """A row for each window: conv_id, window, repeated (turns that are masked), turns (new
-    ones), text, loss_start, loss_length. Sorted by conversation within partitions."""
+    ones), text, loss_start, loss_length. Sorted by conversation within partitions. tokenizer
+    is the path of a vocabulary; without it, a turn's tokens are its words."""
     kind = conversations.schema["conv_id"].dataType.simpleString()
     rows = conversations.select("conv_id", F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("tokens", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) + 1)
+    rows = rows.withColumn("tokens", _tokens(tokenizer) + 1)
     upto = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("before", F.sum("tokens").over(upto) - F.col("tokens"))
     rows = rows.sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text", "before", "tokens")
@@ -124,9 +133,13 @@ def windows(conversations: DataFrame) -> DataFrame:
     return rows.mapInPandas(write, f"conv_id {kind}, {_WINDOW}")
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
+def read_back(formatted: DataFrame, in_order: bool = False) -> DataFrame:
     """One row for each conversation, from the windows alone: conv_id, n_turns, turns_sha256,
-    loss_chars, loss_sha256, formatted_chars, n_windows. Expects the order that windows() gives."""
+    loss_chars, loss_sha256, formatted_chars, n_windows. Windows that were stored, or come from
+    elsewhere, are first brought together and sorted; those that windows() just gave are
+    in_order already. A conversation that lacks a window raises."""
+    if not in_order:
+        formatted = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "window")
     kind = formatted.schema["conv_id"].dataType.simpleString()
     columns = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_windows"]
 
@@ -134,12 +147,14 @@ def read_back(formatted: DataFrame) -> DataFrame:
         now, state = object(), None
         for batch in batches:
             done = []
-            for conv_id, repeated, text, starts, lengths in zip(*(batch[c].astype(object) for c in ("conv_id", "repeated", "text", "loss_start", "loss_length")), strict=True):
+            for conv_id, window, repeated, text, starts, lengths in zip(*(batch[c].astype(object) for c in ("conv_id", "window", "repeated", "text", "loss_start", "loss_length")), strict=True):
                 conv_id = None if pd.isna(conv_id) else conv_id
                 if conv_id != now or state is None:
                     if state:
                         done.append(_result(now, state))
                     now, state = conv_id, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
+                if window != state[5]:
+                    raise ValueError(f"conversation {conv_id}: window {window} instead of {state[5]}")
                 for role, body in _TURN.findall(text)[repeated:]:
                     state[0] += 1
                     state[1].update(f"{unescape(role)}\n{unescape(body)}\n".encode("utf-8", "surrogatepass"))

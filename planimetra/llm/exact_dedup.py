@@ -8,7 +8,9 @@ identifiers, its recipe. Equal recipes mean equal texts. Texts themselves are ne
 
 Defined cases: a null text counts as empty; empty texts are equal to each other; a null
 doc_id is larger than any other; rows that agree in doc_id and text form one group like any
-other copies, and only the first of them is kept; other columns are ignored.
+other copies, and only the first of them is kept; a very long text is cut into chunks of at
+most MAX_CHUNK characters in one task, and only its digests move on; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import BROADCAST_ROWS, fresh, materialise, text_or_empty
+from .runtime import BROADCAST_ROWS, fresh, materialise, small_or_not, text_or_empty
 
 #: Chunks have at least MIN_CHUNK characters and at most MAX_CHUNK; between, a chunk ends
 #: before a space that has one of these letters on either side.
@@ -50,7 +52,8 @@ def chunk_dictionary(chunks: DataFrame) -> DataFrame:
 def recipes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each distinct doc_id and text: doc_id, text_sha256, copies, recipe (ordered identifiers)."""
     chunks = chunk_rows(docs, id_col, text)
-    clashes = chunk_dictionary(chunks).where(F.size("digests") > 1)
+    # 64-bit hashes hardly ever clash, so this table is tiny and the chunks themselves need not meet it in a shuffle
+    clashes = small_or_not(materialise(chunk_dictionary(chunks).where(F.size("digests") > 1)))
     known = chunks.join(clashes, "hash", "left").withColumn("version", F.coalesce(F.array_position("digests", F.col("digest")), F.lit(1)) - 1)
     lists = known.groupBy("doc_id", "text_sha256").agg(
         F.sort_array(F.collect_set(F.when(F.col("pos").isNotNull(), F.struct("pos", "hash", "version")))).alias("parts"),

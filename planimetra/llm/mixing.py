@@ -12,7 +12,9 @@ source misses its target by rounding alone.
 
 Defined cases: null text has size 0; a null source is a source of its own, last in order;
 rows that agree in doc_id and text have the same hash and share what is missing; a source
-without words has target 0; an empty table gives no rows; other columns are ignored.
+without words has target 0; a very long text is one document, however large its share of the
+source (the boundary then lies inside it, and it gives the missing words only); an empty table
+gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -114,9 +116,12 @@ def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOS
     Texts aren't cut: a last, partial use counts as a whole one from half of the words up.
     A document without words has nothing to weigh and stays once.
     """
-    source, size, hash, times = fresh(docs, "_source", "_size", "_hash", "_times")
-    plan = small_or_not(thresholds(materialise(sizes(docs).select("source", "size", "hash")), weights, most).withColumnsRenamed({"source": source, "source_size": "_p_size", "target": "_p_target", "copies": "_p_copies", "bound": "_p_bound", "missing": "_p_missing", "bound_size": "_p_bound_size"}))
-    rows = docs.withColumn(size, words()).withColumn(hash, _hash()).join(plan, F.col("source").cast("string").eqNullSafe(F.col(source)))
-    uses = F.round(taken(F.col(size), F.col(hash), F.col("_p_copies"), F.col("_p_bound"), F.col("_p_missing"), F.col("_p_bound_size")) / F.col(size)).cast("int")
+    size, hash, times = fresh(docs, "_size", "_hash", "_times")
+    found = thresholds(materialise(sizes(docs).select("source", "size", "hash")), weights, most)
+    # every column of the plan gets a name that docs doesn't have
+    source, copies, bound, missing, bound_size = fresh(docs, "_source", "_copies", "_bound", "_missing", "_bound_size")
+    plan = found.select(F.col("source").alias(source), F.col("copies").alias(copies), F.col("bound").alias(bound), F.col("missing").alias(missing), F.col("bound_size").alias(bound_size))
+    rows = docs.withColumn(size, words()).withColumn(hash, _hash()).join(small_or_not(plan), F.col("source").cast("string").eqNullSafe(F.col(source)))
+    uses = F.round(taken(*map(F.col, (size, hash, copies, bound, missing, bound_size))) / F.col(size)).cast("int")
     rows = rows.withColumn(times, F.when(F.col(size) > 0, uses).otherwise(1)).where(F.col(times) > 0)
     return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(times)).drop(times)

@@ -11,8 +11,8 @@ Ranks are given without gathering a length in one task: rows of a length are dea
 buckets by hash, numbered there, and shifted by a running sum of the buckets' counts.
 
 Defined cases: a null or empty text is a document of one token, the end mark; rows that agree
-in doc_id and text are packed like any other two; an empty table gives no rows; other columns
-are ignored. Every token lies in exactly one piece.
+in doc_id and text are packed like any other two; a very long text is cut into full pieces and
+a rest; an empty table gives no rows; other columns are ignored. Every token lies in exactly one piece.
 """
 
 from __future__ import annotations
@@ -52,13 +52,19 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
 
 
+#: Texts on which a vocabulary shows whether its words can be encoded one by one.
+PROBES = ("The quick brown fox, isn't it?", "  two  spaces\n\nand lines\t", "don't we'll I'm 3.14e-10 0xFF", "naïve café ÀÉÎ ſtraße ŒUVRE", "a_b-c/d=e+f (g) [h] {i} <j> \"k\"", "http://a.b/c?d=e&f=1#g AKIA0123", "東京 привет مرحبا", "x" * 40 + " y", "")
+
+
 class Words(dict):
     """Token ids of words as little-endian bytes.
 
-    The vocabulary never joins characters over white space, so a text's ids are its words' ids;
-    its special tokens have none in them, and are recognised where a text spells them out.
+    Where a vocabulary never joins characters over white space, a text's ids are its words'
+    ids; its special tokens have none in them, and are recognised where a text spells them out.
     A new word is split into runs, most of which are known; only new runs are merged. A full
-    cache of words takes no more (frequent words come early), one of runs starts anew.
+    cache of words takes no more (frequent words come early), one of runs starts anew. That all
+    this holds is checked on PROBES when the file is loaded; of a vocabulary for which it
+    doesn't, the library encodes whole words, or whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -67,13 +73,24 @@ class Words(dict):
         self.tokenizer, self.runs, self.letters = Tokenizer.from_file(path), {}, _byte_letters()
         known = json.loads(self.tokenizer.to_str())
         pre, self.special = known["pre_tokenizer"], [x["content"] for x in known["added_tokens"]]
-        self.by_runs = [x.get("pattern", {}).get("Regex") for x in pre.get("pretokenizers", [])][:1] == [_RUN.pattern]
+        self.by_runs = [x.get("pattern", {}).get("Regex") for x in (pre or {}).get("pretokenizers", [])][:1] == [_RUN.pattern]
+        self.by_words = True
+        same = lambda: all(_ids(text, self) == self.whole(text) for text in PROBES)
+        if self.by_runs and not same():
+            self.by_runs = False
+            self.clear()
+        if not same():
+            self.by_words = False
+        self.clear()
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
         if self.by_runs and _SIMPLE.fullmatch(word) and not any(s in word for s in self.special):
             ids = b"".join(self.runs.get(r) or self._merged(r) for r in _RUN.findall(word.lower()))
         else:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = self.whole(word)
         if len(self) < CACHED_WORDS:
             self[word] = ids
         return ids
@@ -93,6 +110,15 @@ def _words(path: str) -> Words:
     return Words(path)
 
 
+def _ids(text: str, words: Words) -> bytes:
+    """A text's token ids, little-endian, of four bytes each."""
+    return b"".join(map(words.__getitem__, filter(None, _SPACE.split(text)))) if words.by_words else words.whole(text)
+
+
+def token_count(text: str, tokenizer: str) -> int:
+    return len(_ids(text, _words(tokenizer))) // 4
+
+
 def tokenised(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end: int = END, with_ids: bool = False) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens and, if asked for, ids (little-endian)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -103,7 +129,7 @@ def tokenised(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end: int = EN
         for batch in batches:
             ids, rows = batch.column(0), []
             for k, text in enumerate(batch.column(1)):
-                data = b"".join(map(words.__getitem__, filter(None, _SPACE.split(text.as_py() or "")))) + mark
+                data = _ids(text.as_py() or "", words) + mark
                 for at in range(0, len(data), 4 * limit):
                     part = data[at : at + 4 * limit]
                     rows.append((k, at // 4, len(part) // 4, zlib.crc32(part), len(data) // 4, part if with_ids else None))

@@ -46,7 +46,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
     extra = spark.sql(f"select * from values (-7L, 0L, 'user', '{tricky}'), (-7L, 1L, 'assistant', '{tricky}') as t(conv_id, turn, role, text)")
-    return chat.read_back(chat.windows(conversations.unionByName(extra)))
+    return chat.read_back(chat.windows(conversations.unionByName(extra), public_tokenizers.path("word_bpe_49k.json")), in_order=True)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

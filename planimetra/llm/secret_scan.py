@@ -9,11 +9,14 @@ blank lines), however far apart, and reported only if the parts that complete th
 * weak_access (an identifier): a secret;  * weak_assign (a weak secret): an identifier or an endpoint;
 * weak_token (a bare token): an identifier;  * endpoint: an identifier and a secret.
 
-The link is a count by role over the scope, so no pairs are made.
+Within its scope, an interval of the text, each part is joined to the nearest part of each
+role, before or behind it: three links a part, however many there are, by running windows.
+`credentials` gives those links.
 
 Defined cases: a null text counts as empty and has no spans; rows that repeat a doc_id are
 told apart by their texts, equal rows give equal results, one for each; other columns are
-ignored; a text without a match gives a row with zero counts.
+ignored; a text without a match gives a row with zero counts; a very long text is searched
+whole, in one task, and its parts are sorted, not gathered; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,13 +44,12 @@ BLANK_LINE = r"\n[\x20\t\r]*\n\s*"
 KINDS = ("assign", "access", "hex", "weak_access", "weak_assign", "weak_token", "endpoint")
 
 
-def _matches(pattern: str, number: int, kind, only=None) -> Column:
-    """The matches of a pattern as structs (pass, gap before it, length, kind or null, value)."""
-    text = F.col("text")
-    found = F.arrays_zip(F.split(text, pattern).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
+def _matches(pattern: str, number: int, kind) -> Column:
+    """The matches of a pattern, extracted as column `m<number>`, as structs (pass, idx, gap
+    before it, length, kind or null, value). Texts without a match are not split."""
+    found = F.arrays_zip(F.split(F.col("text"), pattern).alias("gap"), F.col(f"m{number}").alias("value"))
     rows = F.transform(found, lambda x, i: F.struct(F.lit(number).alias("pass"), i.alias("idx"), F.length(x["gap"]).alias("gap"), F.length(x["value"]).alias("length"), kind(x["value"]).alias("kind"), x["value"].alias("value")))
-    rows = F.filter(rows, lambda x: x["value"].isNotNull())
-    return rows if only is None else F.when(only, rows).otherwise(F.array().cast(_PART))
+    return F.when(F.size(f"m{number}") > 0, F.filter(rows, lambda x: x["value"].isNotNull())).otherwise(F.array().cast(_PART))
 
 
 _PART = "array<struct<pass:int,idx:int,gap:int,length:int,kind:string,value:string>>"
@@ -64,19 +66,25 @@ def _kind_of_weak(value: Column) -> Column:
     return F.when(whole(ENDPOINT), "endpoint").when(whole(IDENTIFIER), "weak_access").when(whole(SECRET), "weak_assign").when(mixed, "weak_token")
 
 
+#: A pattern, a literal that each of its matches has (or None), and the kind of a match. The last finds where scopes end.
+PASSES = (
+    (ASSIGN, None, _kind_of_assignment),
+    (ACCESS, "AKIA", lambda v: F.when(F.length(v) >= LEAST_ACCESS, "access").when(F.length(v) >= 8, "weak_access")),
+    (HEX, None, lambda v: F.lit("hex")),
+    (WEAK, None, _kind_of_weak),
+    (BLANK_LINE, "\n", lambda v: F.lit(None).cast("string")),
+)
+
+
 def parts(docs: DataFrame) -> DataFrame:
     """A row for each part: doc_id, text_key, copies, start, end (null in a document's first
     row, which has no part), kind (null: a blank line or nothing), value."""
     text = docs.select("doc_id", text_or_empty().alias("text"))
+    for number, (pattern, literal, _) in enumerate(PASSES, 1):
+        values = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+        text = text.withColumn(f"m{number}", values if literal is None else F.when(F.contains("text", F.lit(literal)), values).otherwise(F.array().cast("array<string>")))
     first = F.array(F.struct(F.lit(0).alias("pass"), F.lit(0).alias("idx"), F.lit(0).alias("gap"), F.lit(0).alias("length"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("value")))
-    everything = F.concat(
-        first,
-        _matches(ASSIGN, 1, _kind_of_assignment),
-        _matches(ACCESS, 2, lambda v: F.when(F.length(v) >= LEAST_ACCESS, "access").when(F.length(v) >= 8, "weak_access"), F.contains("text", F.lit("AKIA"))),
-        _matches(HEX, 3, lambda v: F.lit("hex")),
-        _matches(WEAK, 4, _kind_of_weak),
-        _matches(BLANK_LINE, 5, lambda v: F.lit(None).cast("string"), F.contains("text", F.lit("\n"))),
-    )
+    everything = F.concat(first, *(_matches(pattern, number, kind) for number, (pattern, _, kind) in enumerate(PASSES, 1)))
     rows = text.select("doc_id", F.xxhash64("text").alias("text_key"), F.inline(everything))
     rows = rows.repartition("doc_id", "text_key").groupBy("doc_id", "text_key", "pass", "idx", "gap", "length", "kind", "value").agg(F.count("*").alias("copies"))
     upto = Window.partitionBy("doc_id", "text_key", "pass").orderBy("idx")
@@ -84,10 +92,16 @@ def parts(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text_key", "copies", "pass", (end - F.col("length")).alias("start"), end.alias("end"), "kind", "value")
 
 
+#: The kinds of each role in a credential.
+ROLES = {"identifier": ("access", "weak_access"), "secret": ("assign", "hex", "weak_assign", "weak_token"), "endpoint": ("endpoint",)}
+
+
 def linked(docs: DataFrame) -> DataFrame:
-    """parts with the columns scope, ids, secrets, endpoints (those in the scope) and reported."""
+    """parts with the columns scope, reported and identifier, secret, endpoint: for each role
+    the part (start, end, kind, value) of that role in the scope that lies nearest, by the gap
+    between the two (ties: the earlier); null if the scope has no other of that role."""
     doc = Window.partitionBy("doc_id", "text_key").orderBy("start", "pass", "end")
-    rows = parts(docs).withColumn("scope", F.sum((F.col("pass") == 5).cast("int")).over(doc))
+    rows = parts(docs).withColumn("scope", F.sum((F.col("pass") == len(PASSES)).cast("int")).over(doc))
     base = F.col("kind").isin(*KINDS[:3])
     # a weak part on a base span says nothing new; neither does the same place twice
     later = Window.partitionBy("doc_id", "text_key").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
@@ -95,11 +109,18 @@ def linked(docs: DataFrame) -> DataFrame:
     covered |= F.coalesce(F.min(F.when(base, F.col("start"))).over(later) < F.col("end"), F.lit(False))
     covered |= F.coalesce(F.max(F.when(F.col("kind").isNotNull(), F.col("end"))).over(doc.rowsBetween(Window.unboundedPreceding, -1)) > F.col("start"), F.lit(False))
     rows = rows.withColumn("kind", F.when(base | ~covered, F.col("kind")))
-    around = Window.partitionBy("doc_id", "text_key", "scope")
-    count = lambda *kinds: F.sum(F.col("kind").isin(*kinds).cast("int")).over(around)
-    rows = rows.withColumn("ids", count("access", "weak_access")).withColumn("secrets", count("assign", "hex", "weak_assign", "weak_token")).withColumn("endpoints", count("endpoint"))
-    kind, has = F.col("kind"), lambda name: F.coalesce(F.col(name) > 0, F.lit(False))
-    complete = ((kind == "weak_access") & has("secrets")) | ((kind == "weak_assign") & (has("ids") | has("endpoints"))) | ((kind == "weak_token") & has("ids")) | ((kind == "endpoint") & has("ids") & has("secrets"))
+    # each role's last part before this one and first after it; the frame ends before the row itself
+    scope, until = Window.partitionBy("doc_id", "text_key", "scope"), (Window.unboundedPreceding, -1)
+    onward, backward = scope.orderBy("start", "pass", "end").rowsBetween(*until), scope.orderBy(F.desc("start"), F.desc("pass"), F.desc("end")).rowsBetween(*until)
+    for role, kinds in ROLES.items():
+        part = F.when(F.col("kind").isin(*kinds), F.struct("start", "end", "kind", "value"))
+        rows = rows.withColumn(f"{role}_before", F.last(part, ignorenulls=True).over(onward)).withColumn(f"{role}_after", F.last(part, ignorenulls=True).over(backward))
+    for role in ROLES:
+        before, after = F.col(f"{role}_before"), F.col(f"{role}_after")
+        nearer = before.isNotNull() & (after.isNull() | (F.col("start") - before["end"] <= after["start"] - F.col("end")))
+        rows = rows.withColumn(role, F.when(nearer, before).otherwise(after)).drop(before, after)
+    kind, has = F.col("kind"), lambda role: F.col(role).isNotNull()
+    complete = ((kind == "weak_access") & has("secret")) | ((kind == "weak_assign") & (has("identifier") | has("endpoint"))) | ((kind == "weak_token") & has("identifier")) | ((kind == "endpoint") & has("identifier") & has("secret"))
     return rows.withColumn("reported", F.coalesce(base | complete, F.lit(False)))
 
 
@@ -119,5 +140,6 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def credentials(docs: DataFrame) -> DataFrame:
-    """A row for each reported span: doc_id, start, end, kind, value, scope, ids, secrets, endpoints."""
-    return linked(docs).where("reported").select("doc_id", "start", "end", "kind", "value", "scope", "ids", "secrets", "endpoints")
+    """A row for each reported span: doc_id, start, end, kind, value, scope, and the identifier,
+    secret and endpoint that it is linked with (see linked)."""
+    return linked(docs).where("reported").select("doc_id", "start", "end", "kind", "value", "scope", *ROLES)

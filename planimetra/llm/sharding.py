@@ -1,18 +1,20 @@
 """A uniform shuffle into shards of exact sizes by a hypergeometric communication matrix.
 
-Rows are numbered where they lie and cut into blocks of at most BLOCK rows. How many rows
-each block sends to each shard is drawn exactly: the matrix has the joint law that a uniform
+Rows are numbered where they lie and cut into blocks of BLOCK rows (larger ones if a table
+would have more than BLOCKS, so that what the driver draws is bounded). How many rows each block sends to each shard is drawn exactly: the matrix has the joint law that a uniform
 permutation of all rows would give, its row sums are the blocks' sizes and its column sums
 the shards' sizes, which differ by at most one. Each block then permutes its rows and deals
 them by its row of the matrix, the rows are exchanged, and each shard permutes what it got.
 
 A shard may hold a sixteenth of all rows, so it is permuted in parts of about BLOCK rows:
 rows take a part at random, and a running sum of the parts' counts gives each part's first
-slot. Only the blocks' counts (a number for each BLOCK rows) meet on the driver.
+slot. Only the blocks' counts meet on the driver.
 
 Defined cases: a null text has no bytes and CRC 0; equal rows and equal ids are rows of
-their own; an empty table gives no rows; a table smaller than the number of shards leaves
-the last shards empty; any columns are carried along as they are.
+their own; a very long text moves nowhere, as only its size and CRC do; an empty table gives
+no rows; a table smaller than the number of shards leaves the last shards empty. All columns
+are carried along as they are; if there is a shard or slot among them, the new ones are named
+_shard or _slot.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 from .runtime import fresh, materialise, small_or_not, text_or_empty
 
 SHARDS, SEED = 16, 20
-#: Most rows in a block, and about as many in a part of a shard.
-BLOCK = 50_000
+#: Rows in a block, and about as many in a part of a shard; about the most blocks.
+BLOCK, BLOCKS = 50_000, 16_384
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
@@ -78,16 +80,18 @@ def communication_matrix(blocks: list[int], shards: int = SHARDS, seed: int = SE
 
 
 def shuffle_into_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED, block: int = BLOCK) -> DataFrame:
-    """df with the columns shard (0 to shards - 1) and slot (gapless from 0 in each shard).
+    """df with the further columns shard (0 to shards - 1) and slot (gapless from 0 in each shard).
 
     df is written to the checkpoint folder once, so that rows keep their numbers even if
     executors are lost; select the columns to carry beforehand.
     """
     spark = df.sparkSession
-    uid, at, rank, dealt, part, first = fresh(df, "_uid", "_block", "_rank", "_dealt", "_part", "_first")
-    rows = materialise(df.withColumn(uid, F.monotonically_increasing_id())).withColumn(at, F.expr(f"{uid} div {block}"))
+    uid, at, rank, dealt, part, first, shard, slot = fresh(df, "_uid", "_block", "_rank", "_dealt", "_part", "_first", "shard", "slot")
+    rows = materialise(df.withColumn(uid, F.monotonically_increasing_id()))
+    total = rows.count()
+    block = max(block, -(-total // BLOCKS))
+    rows = rows.withColumn(at, F.expr(f"{uid} div {block}"))
     counts = sorted((r[0], r[1]) for r in rows.groupBy(at).count().collect())
-    total = sum(n for _, n in counts)
     ends = []
     for (b, _), row in zip(counts, communication_matrix([n for _, n in counts], shards, seed), strict=True):
         upto, sums = 0, []
@@ -100,13 +104,13 @@ def shuffle_into_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED, b
         matrix = F.broadcast(matrix)
     locally = Window.partitionBy(at).orderBy(F.xxhash64(uid, F.lit(seed)), uid)
     parts = max(1, -(-total // (shards * block)))
-    placed = rows.withColumn(rank, F.row_number().over(locally) - 1).join(matrix, at).withColumn("shard", F.size(F.filter(dealt, lambda end: end <= F.col(rank))))
+    placed = rows.withColumn(rank, F.row_number().over(locally) - 1).join(matrix, at).withColumn(shard, F.size(F.filter(dealt, lambda end: end <= F.col(rank))))
     placed = placed.withColumn(part, F.pmod(F.xxhash64(uid, F.lit(seed + 1)), F.lit(parts)))
-    sums = Window.partitionBy("shard").orderBy(part)
-    firsts = materialise(placed.groupBy("shard", part).count().select("shard", part, (F.sum("count").over(sums) - F.col("count")).alias(first)))
-    again = Window.partitionBy("shard", part).orderBy(F.xxhash64(uid, F.lit(seed + 2)), uid)
-    placed = placed.withColumn(rank, F.row_number().over(again) - 1).join(small_or_not(firsts), ["shard", part])
-    return placed.select(*df.columns, "shard", (F.col(first) + F.col(rank)).alias("slot"))
+    sums = Window.partitionBy(shard).orderBy(part)
+    firsts = materialise(placed.groupBy(shard, part).count().select(shard, part, (F.sum("count").over(sums) - F.col("count")).alias(first)))
+    again = Window.partitionBy(shard, part).orderBy(F.xxhash64(uid, F.lit(seed + 2)), uid)
+    placed = placed.withColumn(rank, F.row_number().over(again) - 1).join(small_or_not(firsts), [shard, part])
+    return placed.select(*df.columns, shard, (F.col(first) + F.col(rank)).alias(slot))
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
