@@ -16,8 +16,12 @@ def session(app: str = "planimetra", **conf: str) -> SparkSession:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir and read back: rows fixed, lineage gone."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    """df written to the folder of spark.checkpoint.dir and read back: rows fixed, lineage gone.
+    Where none is set, a local session gets a temporary folder; on a cluster that is an error."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
