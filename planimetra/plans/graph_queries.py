@@ -185,12 +185,23 @@ def graph_forest_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nations(spark, sf_dir).spanning_forest().agg(F.sum("weight").alias("cost"), F.count("*").alias("edges"))
 
 
-@query()
+_TRADE_MST = _MST.replace(tb.NATION_EDGES_SQL, """ne as (select least(c_nationkey, s_nationkey) as src, greatest(c_nationkey, s_nationkey) as dst, min(w)::double as weight from (
+    select c_nationkey, s_nationkey, count(*) as w from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey where c_nationkey <> s_nationkey group by 1, 2) group by 1, 2)""")
+
+
+@query(_TRADE_MST)
 def graph_prim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _all_trade(spark, sf_dir, directed=False).prim(0)
 
 
-@query()
+# the greatest flow is the least cut: one bit for each other nation of the source's region
+_CUTS = f"""with {tb.NATION_EDGES_SQL}, v as (select n_nationkey as k, row_number() over (order by n_nationkey) - 1 as bit from nation where n_regionkey = (select n_regionkey from nation where n_nationkey = 0) and n_nationkey not in (0, 20)),
+    cuts as (select unnest(range((1 << (select count(*) from v))::bigint)) as s), side as (select s, k, ((s >> bit) & 1) = 1 as inside from cuts, v union all select s, 0, true from cuts),
+    cost as (select cuts.s, coalesce(sum(weight) filter (where a.inside and not coalesce(b.inside, false)), 0) as cost from cuts left join side a on a.s = cuts.s left join ne on ne.src = a.k left join side b on b.s = cuts.s and b.k = ne.dst group by 1)
+    select min(cost)::bigint as flow from cost"""
+
+
+@query(_CUTS)
 def graph_max_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     flow = Graph(tb.nation_edges(spark, sf_dir).where("src < 25")).max_flow(0, 20)
     return spark.createDataFrame([(flow,)], "flow long")
