@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def add(df: DataFrame, rows: DataFrame) -> DataFrame:
     """Keeps ties."""
@@ -33,6 +35,17 @@ def ascending(df: DataFrame, *keys: str) -> DataFrame:
     return df.orderBy(*keys)
 
 
+def placed(df: DataFrame, *keys: str) -> DataFrame:
+    """df with place, 1 to n in the order of keys: ranges of keys are sorted side by side, and a
+    running sum of the ranges' counts (one row each) shifts their places."""
+    low = (1 << 33) - 1  # monotonically_increasing_id counts rows there, and partitions above
+    rows = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_range", F.shiftright("_at", 33))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
+    return rows.join(F.broadcast(counts), "_range").select(*df.columns, (F.col("_at").bitwiseAND(F.lit(low)) + F.col("_first") + 1).alias("place"))
+
+
 def head(df: DataFrame, n: int, *keys: str, highest: bool = False) -> DataFrame:
     """The first n pops of a heap: a bounded top-k in each task, merged at the end."""
     return df.orderBy(*[F.desc(k) if highest else F.asc(k) for k in keys]).limit(n)

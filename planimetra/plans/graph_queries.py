@@ -100,37 +100,50 @@ def graph_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _trade(spark, sf_dir).bfs(0).select("id", "level")
 
 
-# the same over all trade pairs: the SQL above has each nation's top three and paths of up to eight edges
+# the same over all trade pairs (the SQL above has each nation's top three and paths of up to eight
+# edges): its distances come from as many relaxations of all edges as there are nations
+_TRADE_ALL = """trade as materialized (select c_nationkey as src, s_nationkey as dst, count(*)::double as weight from lineitem join orders on l_orderkey = o_orderkey
+    join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey where c_nationkey <> s_nationkey group by 1, 2)"""
 
 
-@query()
+def _relaxed(edges: str, start: str, step: str, rounds: int) -> str:
+    """SQL of the least values (id, d) that start at `start` and grow by `step` along the edges t, as table d<rounds>."""
+    tables = [f"with {edges}, d0 as materialized ({start})"]
+    tables += [f"d{k + 1} as materialized (select id, min(d) as d from (select id, d from d{k} union all select t.dst, {step} from d{k} w join trade t on w.id = t.src) group by id)" for k in range(rounds)]
+    return ", ".join(tables)
+
+
+_ALL_SSSP = _relaxed(_TRADE_ALL, "select 0 as id, 0::double as d", "w.d + t.weight", 25) + " select id, d as dist from d25"
+
+
+@query(f"with {_TRADE_ALL} select src, dst from trade where dst < src")
 def graph_path_to_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _all_trade(spark, sf_dir)
     ids = g.vertices
     return g.paths_to(ids.select(F.col("id").alias("src")).join(ids.select(F.col("id").alias("dst")), F.col("dst") < F.col("src")))
 
 
-@query()
+@query(_ALL_SSSP)
 def graph_dijkstra_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _all_trade(spark, sf_dir).dijkstra(0).select("id", "dist")
 
 
-@query()
+@query(f"select * from ({_ALL_SSSP}) where id = 17")
 def graph_dijkstra_pair_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _all_trade(spark, sf_dir).dijkstra_pair(0, 17).select("id", "dist")
 
 
-@query()
+@query(_ALL_SSSP)
 def graph_bellman_ford_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _all_trade(spark, sf_dir).bellman_ford(0).select("id", "dist")
 
 
-@query()
+@query(f"select * from ({_ALL_SSSP}) where id = 11")
 def graph_a_star_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _all_trade(spark, sf_dir).a_star(0, 11).select("id", "dist")
 
 
-@query()
+@query(_relaxed(_TRADE_ALL, "select 0 as id, 0 as d", "w.d + 1", 25) + " select id, d as level from d25")
 def graph_bfs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _all_trade(spark, sf_dir).bfs(0).select("id", "level")
 
@@ -146,7 +159,11 @@ def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parts(spark, sf_dir).connected_components()
 
 
-@query()
+# labels spread by one edge in each round; the graph of parts is random and dense, so few rounds settle it
+_PARTS_ALL = f"""trade as materialized (with {tb.PART_EDGES_SQL.replace(" where l_quantity >= 45", "")} select src, dst from pe union select dst, src from pe)"""
+
+
+@query(_relaxed(_PARTS_ALL, "select distinct l_partkey as id, l_partkey as d from lineitem", "w.d", 24) + " select id, d as component from d24")
 def graph_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As graph_components, whose SQL has only the larger lines, over all of them."""
     rows = tb.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"))
@@ -255,22 +272,28 @@ def tree_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tree(spark, sf_dir).ancestors(spark.createDataFrame([("c1",), ("c2",), ("n3",), ("w",)], "node string")).select("node", "ancestor", "steps")
 
 
-_PAIRS = "pr as (select 'c' || c_custkey as a, 'c' || (c_custkey + 1) as b from customer where c_custkey < 100 union all select 'c1', 'w' union all select 'n1', 'n1')"
+_PAIRS = "pr as (select 'c' || c_custkey as a, 'c' || (c_custkey + 1) as b from customer union all select 'c1', 'w' union all select 'n1', 'n1')"
+
 
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer and the next, and two pairs of inner nodes."""
+    return _all_pairs(spark, sf_dir).union(spark.createDataFrame([("c1", "w"), ("n1", "n1")], "a string, b string"))
 
-def _pairs(spark: SparkSession) -> DataFrame:
-    own = spark.range(100).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("a"), F.concat(F.lit("c"), (F.col("id") + 1).cast("string")).alias("b"))
-    return own.union(spark.createDataFrame([("c1", "w"), ("n1", "n1")], "a string, b string"))
 
+_LCA = f"{_REC}, {_PAIRS} select a, b, list_filter(pa.path, lambda x: list_contains(pb.path, x))[-1] as lca from pr join rel pa on pa.node = a join rel pb on pb.node = b"
 
-@query(f"{_REC}, {_PAIRS} select a, b, (select x.node from rel x where list_contains(pa.path, x.node) and list_contains(pb.path, x.node) order by x.depth desc limit 1) as lca from pr join rel pa on pa.node = a join rel pb on pb.node = b")
+
+@query(_LCA)
 def tree_lca(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tree(spark, sf_dir).lca(_pairs(spark))
+    return _tree(spark, sf_dir).lca(_pairs(spark, sf_dir))
+
 
+_FIND_PATH = f"{_REC}, {_PAIRS} select a, b, array_to_string(list_concat(list_reverse(list_filter(pa.path, lambda x: not list_contains(pb.path, x))), [list_filter(pa.path, lambda x: list_contains(pb.path, x))[-1]], list_filter(pb.path, lambda x: not list_contains(pa.path, x))), '>') as path from pr join rel pa on pa.node = a join rel pb on pb.node = b"
 
-@query(f"{_REC}, {_PAIRS} select a, b, array_to_string(list_concat(list_reverse(list_filter(pa.path, lambda x: not list_contains(pb.path, x))), [list_filter(pa.path, lambda x: list_contains(pb.path, x))[-1]], list_filter(pb.path, lambda x: not list_contains(pa.path, x))), '>') as path from pr join rel pa on pa.node = a join rel pb on pb.node = b")
+
+@query(_FIND_PATH)
 def tree_find_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tree(spark, sf_dir).find_path(_pairs(spark)).select("a", "b", F.array_join("path", ">").alias("path"))
+    return _tree(spark, sf_dir).find_path(_pairs(spark, sf_dir)).select("a", "b", F.array_join("path", ">").alias("path"))
 
 
 @query(f"{_REC} select node, depth from rel where depth = 2")
@@ -283,22 +306,28 @@ def tree_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tree(spark, sf_dir).links()
 
 
-@query(f"{_REC} select node, row_number() over (order by key) as ord from rel where depth < 3")
+# a traversal's order is that of the places on the way down; ranks of all nodes would need one task
+_PLACED = f"""with recursive {tb.TREE_SQL}, o as (select *, row_number() over (partition by parent order by ord, node) as place from t), rel(node, depth, places) as (select node, 0, []::bigint[] from o where parent is null
+    union all select o.node, depth + 1, list_append(places, o.place) from rel join o on o.parent = rel.node)"""
+
+
+def _joined(key: str):
+    return F.array_join(F.transform(key, lambda x: x.cast("string")), ".").alias(key)
+
+
+@query(f"{_PLACED} select node, array_to_string(places, '.') as places from rel")
 def tree_preorder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = tb.hierarchy(spark, sf_dir).where("substr(node, 1, 1) <> 'c'")
-    return Tree(nodes).preorder().selectExpr("node", "cast(row_number() over (order by places) as bigint) as ord")
+    return _tree(spark, sf_dir).preorder().select("node", _joined("places"))
 
 
-@query(f"{_REC} select node, row_number() over (order by list_append(key, 1000000000)) as ord from rel where depth < 3")
+@query(f"{_PLACED} select node, array_to_string(list_append(places, 2147483647), '.') as key from rel")
 def tree_postorder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = tb.hierarchy(spark, sf_dir).where("substr(node, 1, 1) <> 'c'")
-    return Tree(nodes).postorder().selectExpr("node", "cast(row_number() over (order by key) as bigint) as ord")
+    return _tree(spark, sf_dir).postorder().select("node", _joined("key"))
 
 
-@query(f"{_REC} select node, row_number() over (order by depth, key) as ord from rel where depth < 3")
+@query(f"{_PLACED} select node, depth, array_to_string(places, '.') as places from rel")
 def tree_level_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = tb.hierarchy(spark, sf_dir).where("substr(node, 1, 1) <> 'c'")
-    return Tree(nodes).level_order().selectExpr("node", "cast(row_number() over (order by depth, places) as bigint) as ord")
+    return _tree(spark, sf_dir).level_order().select("node", "depth", _joined("places"))
 
 
 @query(f"{_REC} select node, depth from rel where node like '%7' order by depth, key limit 12")
@@ -318,9 +347,12 @@ def tree_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tree(nodes).nodes.select("parent", "node", F.col("place").cast("long").alias("place"))
 
 
-@query(f"{_REC}, l as (select path, key, node from rel where depth = 3), x as (select unnest(path) as top, key, node from l) select top as node, arg_min(node, key) as leaf_left, arg_max(node, key) as leaf_right from x where top like 'r%' or top like 'n%' group by top")
+_ENDS = f"{_REC}, l as (select path, key, node from rel where node not in (select parent from t where parent is not null)), x as (select unnest(path) as top, key, node from l) select top as node, arg_min(node, key) as leaf_left, arg_max(node, key) as leaf_right from x group by top"
+
+
+@query(_ENDS)
 def tree_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tree(spark, sf_dir).ends().where("node like 'r%' or node like 'n%'")
+    return _tree(spark, sf_dir).ends()
 
 
 @query(f"with {tb.TREE_SQL}, k as (select parent as node, count(*) as child_count, arg_min(node, ord) as first_child, arg_max(node, ord) as last_child from t where parent is not null group by 1) select t.node, coalesce(child_count, 0) as child_count, first_child, last_child, (row_number() over (partition by parent order by ord) - 1)::int as place from t left join k on t.node = k.node")
@@ -338,12 +370,15 @@ def tree_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tree(spark, sf_dir).expanded(spark.createDataFrame([("r2", False), ("n8", True)], "node string, expand boolean"))
 
 
-@query(f"{_CLOSURE}, a as (select top as node, count(*) - 1 as descendant_count, max(depth) as deepest from c group by top) select rel.node, rel.depth, (deepest - rel.depth)::int as height, descendant_count from rel join a on a.node = rel.node where rel.depth < 3")
+_COMPUTE = f"{_CLOSURE}, a as (select top as node, count(*) - 1 as descendant_count, max(depth) as deepest from c group by top) select rel.node, rel.depth, (deepest - rel.depth)::int as height, descendant_count from rel join a on a.node = rel.node"
+
+
+@query(_COMPUTE)
 def tree_compute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tree(spark, sf_dir).compute().where("depth < 3").select("node", "depth", "height", "descendant_count")
+    return _tree(spark, sf_dir).compute().select("node", "depth", "height", "descendant_count")
 
 
-# the same over the whole hierarchy, without SQL; traversals give the sort key instead of a rank
+# pairs of customers only, and traversals whose sort keys are arrays
 
 
 def _all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -352,12 +387,12 @@ def _all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tb.table(spark, sf_dir, "customer").select(name(F.col("c_custkey")).alias("a"), name(F.col("c_custkey") + 1).alias("b"))
 
 
-@query()
+@query(_LCA.replace(" union all select 'c1', 'w' union all select 'n1', 'n1'", ""))
 def tree_lca_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tree(spark, sf_dir).lca(_all_pairs(spark, sf_dir))
 
 
-@query()
+@query(_FIND_PATH.replace(" union all select 'c1', 'w' union all select 'n1', 'n1'", ""))
 def tree_find_path_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tree(spark, sf_dir).find_path(_all_pairs(spark, sf_dir)).select("a", "b", F.array_join("path", ">").alias("path"))
 
@@ -377,11 +412,11 @@ def tree_level_order_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tree(spark, sf_dir).level_order()
 
 
-@query()
+@query(_ENDS)
 def tree_ends_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tree(spark, sf_dir).ends()
 
 
-@query()
+@query(_COMPUTE)
 def tree_compute_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tree(spark, sf_dir).compute().select("node", "depth", "height", "descendant_count")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rect as rc
@@ -140,9 +140,9 @@ def point_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pts.counted(tb.points(spark, sf_dir)).agg(F.count("*").alias("nodes"), F.sum("n").alias("points"), F.max("n").alias("most"))
 
 
-@query(f"with {_POINTS} select x, y from pt where x = 50 and y < 50000")
+@query(f"with {_POINTS} select x, y from pt")
 def point_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pts.coordinates(pts.counted(tb.points(spark, sf_dir).where("x = 50 and y < 50000")), include_repeated=True)
+    return pts.coordinates(pts.counted(tb.points(spark, sf_dir)), include_repeated=True)
 
 
 @query(f"with {_CUST}, probe as (select s_suppkey as probe, s_suppkey / 10 as px, s_acctbal / 100 as py from supplier), d as (select probe, x, y, (x - px) * (x - px) + (y - py) * (y - py) as d2 from cp, probe), k as (select *, row_number() over (partition by probe order by d2, x, y) as rn from d where d2 <= 1) select probe, x, y from k where rn = 1")
@@ -182,10 +182,9 @@ def ordered_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.agg(F.min("o_totalprice").alias("least"), F.max("o_totalprice").alias("greatest"), F.count("*").alias("size"))
 
 
-@query("select l_quantity as q, (row_number() over (order by l_quantity)) as place from lineitem where l_orderkey < 200")
+@query("select l_quantity as q, (row_number() over (order by l_quantity)) as place from lineitem")
 def ordered_ascending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = tb.table(spark, sf_dir, "lineitem").where("l_orderkey < 200").select(F.col("l_quantity").alias("q"))
-    return ordered.ascending(q, "q").withColumn("place", F.row_number().over(Window.orderBy("q")).cast("long"))
+    return ordered.placed(tb.table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("q")), "q")
 
 
 @query("select distinct p_size from part where p_size::double in (select l_quantity from lineitem)")
