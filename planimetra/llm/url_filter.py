@@ -7,14 +7,15 @@ judge those that no rule fits.
 Defined cases: a null URL, or one without ://, has an empty host and path, fits no rule and
 is judged like any other; of rules that fit, the longest holds; repeated rows are judged
 alike; if the labelled URLs are all of one verdict, that verdict goes to the rest, and
-without any, they are allowed; an empty table gives no rows; other columns are ignored.
+without any, they are allowed; a very long URL is judged whole; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 import string
 
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,20 +70,31 @@ def lexical(pages: DataFrame) -> DataFrame:
     return joined.withColumn("suffix_share", F.coalesce(F.col("_pages"), F.lit(0.0)) / total).withColumn("suffix_hosts", F.coalesce("suffix_hosts", F.lit(0.0))).drop("_suffix", "_pages")
 
 
-def judge(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
-    """One row for each page: page_id, host, path, rule, verdict."""
+def learned(pages: DataFrame, rules: tuple = RULES) -> tuple[DataFrame, GBTClassificationModel | str]:
+    """page_id, host, path, rule, ruled (the rule's verdict) and FEATURES of each page, and the
+    trees, or the only verdict (allow, if there is none) where the labelled URLs don't have both."""
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", "url").withColumns({"host": host, "path": path})
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     rows = materialise(lexical(rows.withColumns({"rule": rule, "ruled": verdict})).select("page_id", "host", "path", "rule", "ruled", F.xxhash64("url").alias("url_hash"), *FEATURES))
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     labelled = rows.where("ruled is not null").orderBy("url_hash", "page_id").limit(SAMPLE)
     labelled = materialise(labelled.select((F.col("ruled") == "block").cast("double").alias("label"), *FEATURES))
     kinds = [r[0] for r in labelled.select("label").distinct().collect()]
     if len(kinds) < 2:
-        rest = F.lit("block" if kinds == [1.0] else "allow")
+        return rows, "block" if kinds == [1.0] else "allow"
+    return rows, GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=11, cacheNodeIds=False).fit(_vectors(labelled))
+
+
+def _vectors(rows: DataFrame) -> DataFrame:
+    return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
+
+
+def judge(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
+    """One row for each page: page_id, host, path, rule, verdict."""
+    rows, model = learned(pages, rules)
+    if isinstance(model, str):
+        rest = F.lit(model)
     else:
-        model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=11, cacheNodeIds=False).fit(vectors.transform(labelled))
-        rows = model.transform(vectors.transform(rows))
+        rows = model.transform(_vectors(rows))
         rest = F.when(F.col("prediction") > 0.5, "block").otherwise("allow")
     return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", rest).alias("verdict"))

@@ -134,7 +134,7 @@ def test_packing(docs, empty):
 def test_lacings(lacing):
     frames = [bytes([k]) * (300 if lacing == matroska.FIXED else 1 + 290 * k) for k in range(1 if lacing == matroska.NO_LACING else 5)]
     block = matroska._block(frames, 7, lacing)
-    (_, start, stop), = matroska.elements(memoryview(block), 0, len(block))
+    (_, _, start, stop), = matroska.elements(memoryview(block), 0, len(block))
     track, offset, _, found = matroska._frames(memoryview(block), start, stop)
     assert (track, offset, [block[at : at + n] for at, n in found]) == (1, 7, frames)
 
