@@ -38,6 +38,14 @@ class Graph:
             return self.given
         return self.given.union(self.given.where("src <> dst").select("dst", "src", "weight"))
 
+    @staticmethod
+    def of_matrix(cells: DataFrame, size: int) -> Graph:
+        """The directed graph of a 0/1 adjacency matrix given as rows (i, j, value); its vertices
+        are 0 to size - 1. bfs and dfs of it are the traversals of the matrix."""
+        edges = cells.where("value <> 0").select(F.col("i").alias("src"), F.col("j").alias("dst")).withColumn("weight", F.lit(1.0))
+        vertices = cells.sparkSession.range(size).select(F.col("id").cast(edges.schema["src"].dataType))
+        return Graph(edges, vertices)
+
     # construction and lookup
 
     def add_edges(self, edges: DataFrame) -> Graph:
@@ -287,6 +295,12 @@ class Graph:
             change = steps.select("e.src", "e.dst", (-F.col("gain")).alias("room")).union(steps.select("e.dst", "e.src", "gain"))
             residual = cut(residual.union(change).groupBy("src", "dst").agg(F.sum("room").alias("room")).where("room > 0"))
 
+    @staticmethod
+    def max_flow_of(capacities: DataFrame, source, sink) -> int:
+        """The greatest flow through a table of capacities (src, dst, capacity): the entry of the
+        push-relabel method, whose value is the same."""
+        return Graph(capacities.select("src", "dst", F.col("capacity").alias("weight"))).max_flow(source, sink)
+
     def _augmenting(self, residual: DataFrame, source, sink) -> DataFrame | None:
         kind = self.vertices.schema["id"].dataType.simpleString()
         front = cut(self.vertices.where(F.col("id") == F.lit(source)).select("id", F.array().cast(f"array<struct<src:{kind},dst:{kind}>>").alias("path"), F.lit(2**62).alias("gain")))

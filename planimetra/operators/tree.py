@@ -37,15 +37,47 @@ class Tree:
         return self._paths
 
     def add(self, nodes: DataFrame) -> Tree:
-        """With further nodes; a parent that isn't there hangs below the root's level as its own node."""
-        known = self.nodes.select("node", "parent", F.col("place").alias("ord"))
-        new = nodes.select("node", "parent", F.lit(2**30).alias("ord"))
-        return Tree(known.unionByName(new))
+        """With further nodes (node, parent), behind their siblings. A parent that neither the
+        tree nor the new nodes have becomes a node of its own below the root. In an empty tree the
+        node without a parent is the root; without such a node the parents that nobody names are."""
+        known = self.nodes.select("node", "parent", F.col("place").cast("long").alias("ord"))
+        new = nodes.select("node", "parent")
+        have = known.select("node").union(new.select("node"))
+        unknown = new.where("parent is not null").select(F.col("parent").alias("node")).distinct().join(have, "node", "left_anti")
+        root = known.where("parent is null").first()
+        above = F.lit(root.node if root else None).cast(self.nodes.schema["node"].dataType)
+        late = F.lit(2**40)
+        rows = known.unionByName(new.withColumn("ord", late)).unionByName(unknown.select("node", above.alias("parent"), late.alias("ord")))
+        return Tree(rows)
+
+    def _without(self, gone: DataFrame) -> Tree:
+        return Tree(self.nodes.join(gone, "node", "left_anti").select("node", "parent", F.col("place").alias("ord")))
 
     def remove(self, nodes: DataFrame) -> Tree:
         """Without the nodes and all below them."""
-        gone = self.below(nodes).select("node").distinct()
-        return Tree(self.nodes.join(gone, "node", "left_anti").select("node", "parent", F.col("place").alias("ord")))
+        return self._without(self.below(nodes).select("node").distinct())
+
+    def remove_where(self, test: Column) -> Tree:
+        """Without the nodes (node, parent, place from 1) that a test holds for, and all below them."""
+        return self.remove(self.nodes.where(test).select("node"))
+
+    def remove_first(self, parents: DataFrame) -> Tree:
+        """Without the first child of each of parents (node)."""
+        return self.remove_at(parents.select("node", F.lit(0).alias("place")))
+
+    def remove_last(self, parents: DataFrame) -> Tree:
+        last = self.nodes.groupBy("parent").agg(F.max(F.struct("place", "node")).alias("l")).select(F.col("parent").alias("node"), F.col("l.node").alias("child"))
+        return self.remove(parents.select("node").join(last, "node").select(F.col("child").alias("node")))
+
+    def remove_at(self, places: DataFrame) -> Tree:
+        """Without the children at places (node, place from 0); a place that isn't there does nothing."""
+        at = places.select(F.col("node").alias("parent"), (F.col("place") + 1).alias("place")).distinct()
+        return self.remove(self.nodes.join(at, ["parent", "place"], "left_semi").select("node"))
+
+    def remove_children(self, parents: DataFrame) -> Tree:
+        """Without all that is below parents (node), which stay."""
+        own = parents.select(F.col("node").alias("parent")).distinct()
+        return self.remove(self.nodes.join(own, "parent", "left_semi").select("node"))
 
     def below(self, nodes: DataFrame) -> DataFrame:
         """top, node: the nodes of each subtree, its top included."""

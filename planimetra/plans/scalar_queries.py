@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import angle, bezier, circle, lines, polygon, sector
+from ..functions import angle, bezier, circle, lines, polygon, sector, shape
 from ..functions import rect as rc
 from ..functions import vector as v
 from ..sources import tables as tb
@@ -220,3 +220,45 @@ def bezier_factories(spark: SparkSession, sf_dir: str) -> DataFrame:
     arc = bezier.of_arc(v.point(a, b), F.col("c") + 1, F.col("e"), F.col("g"))
     r = rc.rect(a, b, F.col("a") + 4, F.col("b") + 3)
     return _rows(spark, sf_dir, arc=F.size(arc), ax=r4(arc[0]["c1"]["x"]), oval=r4(bezier.of_oval(r)[0]["c1"]["y"]), round=F.size(bezier.of_rounded_rect(r, 0.5)))
+
+
+def _near(px: str, py: str, ax: str, ay: str, bx: str, by: str) -> str:
+    """SQL of the distance of a point from a segment."""
+    t = f"greatest(0, least(1, coalesce((({px} - ({ax})) * ({bx} - ({ax})) + ({py} - ({ay})) * ({by} - ({ay}))) / nullif(pow({bx} - ({ax}), 2) + pow({by} - ({ay}), 2), 0), 0)))"
+    return f"sqrt(pow({px} - ({ax} + ({bx} - ({ax})) * {t}), 2) + pow({py} - ({ay} + ({by} - ({ay})) * {t}), 2))"
+
+
+_KITE = [("a - c - 1", "b"), ("a", "b - d - 1"), ("a + c + 1", "b"), ("a", "b + d + 1")]
+_IN_KITE = "abs({0} - a) / (c + 1) + abs({1} - b) / (d + 1) <= 1"
+_TO_KITE = "case when " + _IN_KITE.format("d", "f") + " then 0 else least(" + ", ".join(_near("d", "f", *p, *q) for p, q in zip(_KITE, _KITE[1:] + _KITE[:1], strict=True)) + ") end"
+_GAP = f"greatest(0, case id % 3 when 0 then {_near('d', 'f', 'a', 'b', 'c', 'd')} when 1 then sqrt(pow(a - d, 2) + pow(b - f, 2)) - (e + 1) else {_TO_KITE} end - (g + 1))"
+
+
+@query(_sql(overlap=f"{_GAP} <= 0", gap=_r(_GAP), holds=f"case id % 3 when 0 then false when 1 then pow(a - h, 2) + pow(b - j, 2) <= pow(e + 1, 2) else {_IN_KITE.format('h', 'j')} end"))
+def shape_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments, circles and kites in one column, against circles."""
+    x = F.when(F.col("id") % 3 == 0, shape.shape("segment", lines.segment(v.point(a, b), v.point(c, d)))).when(F.col("id") % 3 == 1, shape.shape("circle", circle.circle(a, b, F.col("e") + 1))).otherwise(shape.shape("polygon", _kite()))
+    y, kinds = shape.shape("circle", circle.circle(d, f, F.col("g") + 1)), ("segment", "circle", "polygon")
+    return _rows(spark, sf_dir, overlap=shape.overlaps(y, x, ("circle",), kinds), gap=r4(shape.distance(x, y, kinds, ("circle",))), holds=shape.contains_point(x, v.point(h, j)))
+
+
+_LINE = "abs((c - a) * (f - b) - (d - b) * (e - a)) / nullif(sqrt(pow(c - a, 2) + pow(d - b, 2)), 0)"
+_FOOT = "((e - a) * (c - a) + (f - b) * (d - b)) / nullif(pow(c - a, 2) + pow(d - b, 2), 0)"
+
+
+@query(_sql(full="abs(e - 2 * pi()) <= 1e-9", same="abs(a - b) <= 1e-10", near=f"{_LINE} <= 4", name="printf('[%.2f,%.2f,%.2f,%.2f]', least(a, c), least(b, d), greatest(a, c), greatest(b, d))", boxed="a - c - 1 >= -20 and b - d - 1 >= -20 and a + c + 1 <= 20 and b + d + 1 <= 20", foot=_r(f"a + (c - a) * {_FOOT} - 2 * (d - b) / nullif(sqrt(pow(c - a, 2) + pow(d - b, 2)), 0)"), quad=_r("g + (h - g) * 0.666667::double"), flat="abs((c - a) * (f - b) - (d - b) * (e - a)) <= 1e-9 and abs((c - a) * (j - b) - (d - b) * (i - a)) <= 1e-9", apart=_r(f"greatest(0, {_near('e', 'f', 'a', 'b', 'c', 'd')} - j)"), path=f"least({_near('i', 'j', 'a', 'b', 'c', 'd')}, {_near('i', 'j', 'c', 'd', 'e', 'f')}) <= 2", middle=_r("c + e / 2"), empty="abs(e) <= 1e-9 or b - a <= 1e-9", alike=_r("abs(c - a) + abs(d - b)")))
+def scalar_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Smaller predicates and constructions that no other query calls."""
+    x = {n: F.col(n) for n in "abcdefghij"}
+    s, p = lines.segment(v.point(a, b), v.point(c, d)), v.point(e, f)
+    k, arc = bezier.curve(v.point(a, b), p, v.point(i, j), v.point(c, d)), sector.sector(a, b, a, b, c, e)
+    flat, raised = bezier.of_line(v.point(a, b), v.point(a, b)), bezier.curve(v.point(c, b), v.point(a, d), v.point(a, b), v.point(a, b))
+    chain = F.array(v.point(a, b), v.point(c, d), p)
+    return _rows(spark, sf_dir, full=angle.is_full(x["e"]), same=angle.equals(x["a"], x["b"]), near=lines.near_line(s, p), name=rc.to_string(lines.bbox(s)), boxed=rc.contains_polygon(rc.rect(-20, -20, 20, 20), _kite()), foot=r4(lines.perpendicular_point(s, p, 2.0)["x"]), quad=r4(bezier.of_quadratic(v.point(g, b), v.point(h, d), p)["c1"]["x"]), flat=bezier.is_line(k), apart=r4(circle.distance_to_segment(circle.circle(e, f, j), s)), path=polygon.near_polyline(chain, v.point(i, j)), middle=r4(sector.center_angle(arc)), empty=sector.is_empty(arc), alike=r4(bezier.similarity(flat, raised)))
+
+
+@query(f"{_S} select (id % 7)::bigint as k, round(min(least(a, c)), 4) + 0 as xmin, round(min(least(b, d)), 4) + 0 as ymin, round(max(greatest(a, c)), 4) + 0 as xmax, round(max(greatest(b, d)), 4) + 0 as ymax from s group by 1")
+def rect_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tb.shapes(spark, sf_dir).select((F.col("id") % 7).alias("k"), lines.bbox(lines.segment(v.point(a, b), v.point(c, d))).alias("box"))
+    rows = rows.groupBy("k").agg(rc.bounds_of_rects(F.col("box")).alias("r"))
+    return rows.select("k", *(r4(F.col(f"r.{n}")).alias(n) for n in ("xmin", "ymin", "xmax", "ymax")))
