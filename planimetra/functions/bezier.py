@@ -68,15 +68,18 @@ def _table_size(b: Column) -> Column:
     return F.greatest(F.lit(FEWEST), F.least(F.lit(MOST), F.ceil(0.75 * control).cast("int")))
 
 
+def _chords(b: Column) -> Column:
+    points = _let(_table_size(b), lambda n: F.transform(F.sequence(F.lit(0), n), lambda i: point_at(b, i / n.cast("double"))))
+    return _let(points, lambda p: F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p)), lambda a, b: v.distance(a, b)))
+
+
 def lengths(b: Column) -> Column:
     """Running sums of the chords at equal steps of t, from 0 on: the arc-length table."""
-    points = _let(_table_size(b), lambda n: F.transform(F.sequence(F.lit(0), n), lambda i: point_at(b, i / n.cast("double"))))
-    chords = _let(points, lambda p: F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p)), lambda a, b: v.distance(a, b)))
-    return F.aggregate(chords, F.array(F.lit(0.0)), lambda sums, d: F.concat(sums, F.array(F.element_at(sums, -1) + d)))
+    return F.aggregate(_chords(b), F.array(F.lit(0.0)), lambda sums, d: F.concat(sums, F.array(F.element_at(sums, -1) + d)))
 
 
 def length(b: Column) -> Column:
-    return F.element_at(lengths(b), -1)
+    return F.aggregate(_chords(b), F.lit(0.0), lambda s, d: s + d)
 
 
 def _let(value: Column, use) -> Column:
@@ -88,14 +91,14 @@ def t_at_length(b: Column, at: Column | float) -> Column:
     """The parameter at a length along the curve, between the table's entries; ends are clamped."""
     at = at if isinstance(at, Column) else F.lit(float(at))
 
-    def found(s: Column) -> Column:
-        table, at = s["table"], s["at"]
-        n, k = (F.size(table) - 1).cast("double"), F.size(F.filter(table, lambda x: x <= at))
-        low = F.element_at(table, F.greatest(k, F.lit(1)))
-        high = F.element_at(table, F.least(k + 1, F.size(table)))
-        return F.when(at <= 0, F.lit(0.0)).when(k >= F.size(table), F.lit(1.0)).otherwise((k - 1 + F.coalesce(F.try_divide(at - low, high - low), F.lit(0.0))) / n)
+    return _let(F.struct(lengths(b).alias("table"), at.alias("at")), lambda s: _t_in(s["table"], s["at"]))
+
 
-    return _let(F.struct(lengths(b).alias("table"), at.alias("at")), found)
+def _t_in(table: Column, at: Column) -> Column:
+    n, k = (F.size(table) - 1).cast("double"), F.size(F.filter(table, lambda x: x <= at))
+    low = F.element_at(table, F.greatest(k, F.lit(1)))
+    high = F.element_at(table, F.least(k + 1, F.size(table)))
+    return F.when(at <= 0, F.lit(0.0)).when(k >= F.size(table), F.lit(1.0)).otherwise((k - 1 + F.coalesce(F.try_divide(at - low, high - low), F.lit(0.0))) / n)
 
 
 def point_at_length(b: Column, at: Column | float) -> Column:
@@ -108,7 +111,8 @@ def tangent_at_length(b: Column, at: Column | float) -> Column:
 
 def even_ts(b: Column, n: int) -> Column:
     """n + 1 parameters at equal distances along the curve."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: t_at_length(b, length(b) * i / F.lit(float(n))))
+    at = lambda table, i: _t_in(table, F.element_at(table, -1) * i / F.lit(float(n)))
+    return _let(lengths(b), lambda table: F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: at(table, i)))
 
 
 def bbox(b: Column) -> Column:

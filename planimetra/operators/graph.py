@@ -15,6 +15,8 @@ from ..session import cut
 
 #: Largest component that depth-first search takes in one task; beyond, it refuses.
 DFS_VERTICES = 1_000_000
+#: Edges of one vertex that a join meets in one part.
+HUB = 10_000
 
 
 class Graph:
@@ -223,11 +225,20 @@ class Graph:
     # structure
 
     def connected_components(self) -> DataFrame:
-        """id, component (the least id): weak components, by hooking to the least neighbour and pointer jumping."""
+        """id, component (the least id): weak components, by hooking to the least neighbour and pointer
+        jumping. Minima are taken before rows are shuffled."""
         both = cut(self.given.select("src", "dst").union(self.given.select("dst", "src")).where("src <> dst").distinct())
         labels = cut(self.vertices.select("id", F.col("id").alias("component")))
+        # a hub's edges are dealt into parts, each of which meets its label: into how many, follows from its degree
+        parts = both.groupBy("dst").agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts")).where("parts > 1")
+        parts = cut(parts)  # at most a HUB-th as many rows as edges
+        if not parts.isEmpty():
+            both = cut(both.join(parts, "dst", "left").select("src", "dst", F.pmod(F.xxhash64("src"), F.coalesce("parts", F.lit(1))).cast("int").alias("part")))
         while True:
-            near = both.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("near"))
+            names = labels.withColumnRenamed("id", "dst")
+            if "part" in both.columns:
+                names = names.join(parts, "dst", "left").select("dst", "component", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+            near = both.join(names, [c for c in both.columns if c != "src"]).groupBy(F.col("src").alias("id")).agg(F.min("component").alias("near"))
             hooked = labels.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("next"))
             jump = labels.select(F.col("id").alias("next"), F.col("component").alias("beyond"))
             new = cut(hooked.join(jump, "next").select("id", "old", F.least("next", "beyond").alias("component")))

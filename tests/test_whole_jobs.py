@@ -88,6 +88,16 @@ def test_graph_components_all_has_every_line(spark, con, tmp_path):
     assert found == least_of_component({p for _, p in lines}, edges)
 
 
+def test_components_of_hubs(spark, monkeypatch):
+    from planimetra.operators import graph
+
+    monkeypatch.setattr(graph, "HUB", 8)
+    rng = random.Random(6)
+    edges = [(rng.choice([5, 700, 900]), rng.randrange(300)) for _ in range(250)] + [(1000 + k, 1001 + k) for k in range(0, 60, 2)]
+    found = {r.id: r.component for r in Graph(spark.createDataFrame(edges, "src long, dst long"), directed=False).connected_components().collect()}
+    assert found == least_of_component({x for e in edges for x in e}, edges)
+
+
 @pytest.fixture(scope="module")
 def trade(con) -> dict:
     """(src, dst): weight, of all pairs of nations."""
