@@ -75,9 +75,8 @@ def family(rng: random.Random) -> dict[int, str]:
     return {i: " ".join(t) for i, t in enumerate(texts)}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_near_duplicates_that_stars_leave_open(spark, seed):
-    texts = family(random.Random(seed))
+def test_near_duplicates_that_stars_leave_open(spark):
+    texts = family(random.Random(1))
     want = by_brute_force(texts)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     found = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
@@ -248,11 +247,11 @@ def test_clashing_names(spark):
 def test_uniform_shuffle(spark):
     """Every row is as often in every shard and slot, whatever its block."""
     rows, seen = spark.range(40).repartition(3), np.zeros((40, 4))
-    for seed in range(60):
+    for seed in range(24):
         for r in sharding.shuffle_into_shards(rows, shards=4, seed=1000 * seed, block=7).collect():
             seen[r.id, r.shard] += 1
-    assert (seen.sum(1) == 60).all() and (seen.sum(0) == 600).all()
-    assert ((seen - 15) ** 2 / 15).sum() < 200  # chi-squared of 117 degrees of freedom
+    assert (seen.sum(1) == 24).all() and (seen.sum(0) == 240).all()
+    assert ((seen - 6) ** 2 / 6).sum() < 200  # chi-squared of 117 degrees of freedom
 
 
 def test_stages_of_the_pipeline_by_brute_force(spark):
