@@ -11,11 +11,7 @@ from ..sources import tables as tb
 from .registry import query, r4
 
 
-def _trade(spark: SparkSession, sf_dir: str) -> Graph:
-    return Graph(tb.trade_edges(spark, sf_dir))
-
-
-def _all_trade(spark: SparkSession, sf_dir: str, directed: bool = True) -> Graph:
+def _trade(spark: SparkSession, sf_dir: str, directed: bool = True) -> Graph:
     return Graph(tb.trade_pairs(spark, sf_dir), directed=directed)
 
 
@@ -24,13 +20,24 @@ def _nations(spark: SparkSession, sf_dir: str) -> Graph:
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> Graph:
-    return Graph(tb.part_edges(spark, sf_dir), directed=False)
+    rows = tb.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"))
+    return Graph(tb.part_edges(spark, sf_dir), rows, directed=False)
 
 
 _BOTH = "both_ways as (select src, dst, weight from ne union all select dst, src, weight from ne)"
-_SSSP = f"""with recursive {tb.TRADE_SQL}, walk(id, dist, hops) as (select 0, 0::double, 0 union
-    select * from (select t.dst, w.dist + t.weight, w.hops + 1 from walk w join trade t on w.id = t.src where w.hops < 8))
-    select id, min(dist) as dist from walk group by id"""
+# distances over all trade pairs come from as many relaxations of all edges as there are nations
+_TRADE_ALL = """trade as materialized (select c_nationkey as src, s_nationkey as dst, count(*)::double as weight from lineitem join orders on l_orderkey = o_orderkey
+    join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey where c_nationkey <> s_nationkey group by 1, 2)"""
+
+
+def _relaxed(edges: str, start: str, step: str, rounds: int) -> str:
+    """SQL of the least values (id, d) that start at `start` and grow by `step` along the edges t, as table d<rounds>."""
+    tables = [f"with {edges}, d0 as materialized ({start})"]
+    tables += [f"d{k + 1} as materialized (select id, min(d) as d from (select id, d from d{k} union all select t.dst, {step} from d{k} w join trade t on w.id = t.src) group by id)" for k in range(rounds)]
+    return ", ".join(tables)
+
+
+_SSSP = _relaxed(_TRADE_ALL, "select 0 as id, 0::double as d", "w.d + t.weight", 25) + " select id, d as dist from d25"
 
 
 @query(f"with {tb.NATION_EDGES_SQL}, {_BOTH} select src as id, count(*) as degree from both_ways group by 1")
@@ -51,7 +58,7 @@ def graph_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.remove_vertices(g.vertices.where("id % 5 = 2")).edges
 
 
-@query(f"with {tb.TRADE_SQL} select src, dst from trade where dst < src")
+@query(f"with {_TRADE_ALL} select src, dst from trade where dst < src")
 def graph_path_to(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _trade(spark, sf_dir)
     pairs = g.vertices.select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(24))).alias("dst")).where("dst < src")
@@ -94,80 +101,67 @@ def graph_johnson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nations(spark, sf_dir).johnson().select(F.col("source").alias("src"), F.col("id").alias("dst"), r4(F.col("dist")).alias("dist"))
 
 
-@query(f"""with recursive {tb.TRADE_SQL}, walk(id, level) as (select 0, 0 union select * from (select t.dst, w.level + 1 from walk w join trade t on w.id = t.src where w.level < 8))
-    select id, min(level) as level from walk group by id""")
-def graph_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _trade(spark, sf_dir).bfs(0).select("id", "level")
+_LEVELS = _relaxed(_TRADE_ALL, "select 0 as id, 0 as d", "w.d + 1", 25) + " select id, d as level from d25"
 
 
-# the same over all trade pairs (the SQL above has each nation's top three and paths of up to eight
-# edges): its distances come from as many relaxations of all edges as there are nations
-_TRADE_ALL = """trade as materialized (select c_nationkey as src, s_nationkey as dst, count(*)::double as weight from lineitem join orders on l_orderkey = o_orderkey
-    join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey where c_nationkey <> s_nationkey group by 1, 2)"""
-
-
-def _relaxed(edges: str, start: str, step: str, rounds: int) -> str:
-    """SQL of the least values (id, d) that start at `start` and grow by `step` along the edges t, as table d<rounds>."""
-    tables = [f"with {edges}, d0 as materialized ({start})"]
-    tables += [f"d{k + 1} as materialized (select id, min(d) as d from (select id, d from d{k} union all select t.dst, {step} from d{k} w join trade t on w.id = t.src) group by id)" for k in range(rounds)]
-    return ", ".join(tables)
+@query(_LEVELS)
+def graph_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trade(spark, sf_dir).bfs(0).select("id", "level")
 
 
-_ALL_SSSP = _relaxed(_TRADE_ALL, "select 0 as id, 0::double as d", "w.d + t.weight", 25) + " select id, d as dist from d25"
+# the same under other names
 
 
 @query(f"with {_TRADE_ALL} select src, dst from trade where dst < src")
 def graph_path_to_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _all_trade(spark, sf_dir)
+    g = _trade(spark, sf_dir)
     ids = g.vertices
     return g.paths_to(ids.select(F.col("id").alias("src")).join(ids.select(F.col("id").alias("dst")), F.col("dst") < F.col("src")))
 
 
-@query(_ALL_SSSP)
+@query(_SSSP)
 def graph_dijkstra_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _all_trade(spark, sf_dir).dijkstra(0).select("id", "dist")
+    return _trade(spark, sf_dir).dijkstra(0).select("id", "dist")
 
 
-@query(f"select * from ({_ALL_SSSP}) where id = 17")
+@query(f"select * from ({_SSSP}) where id = 17")
 def graph_dijkstra_pair_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _all_trade(spark, sf_dir).dijkstra_pair(0, 17).select("id", "dist")
+    return _trade(spark, sf_dir).dijkstra_pair(0, 17).select("id", "dist")
 
 
-@query(_ALL_SSSP)
+@query(_SSSP)
 def graph_bellman_ford_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _all_trade(spark, sf_dir).bellman_ford(0).select("id", "dist")
+    return _trade(spark, sf_dir).bellman_ford(0).select("id", "dist")
 
 
-@query(f"select * from ({_ALL_SSSP}) where id = 11")
+@query(f"select * from ({_SSSP}) where id = 11")
 def graph_a_star_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _all_trade(spark, sf_dir).a_star(0, 11).select("id", "dist")
+    return _trade(spark, sf_dir).a_star(0, 11).select("id", "dist")
 
 
-@query(_relaxed(_TRADE_ALL, "select 0 as id, 0 as d", "w.d + 1", 25) + " select id, d as level from d25")
+@query(_LEVELS)
 def graph_bfs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _all_trade(spark, sf_dir).bfs(0).select("id", "level")
+    return _trade(spark, sf_dir).bfs(0).select("id", "level")
 
 
 @query()
 def graph_dfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _all_trade(spark, sf_dir).dfs(0)
+    return _trade(spark, sf_dir).dfs(0)
 
 
-@query(f"""with recursive {tb.PART_EDGES_SQL}, e as (select src, dst from pe union select dst, src from pe), r(id, reach) as (select src, src from e union select r.id, e.dst from r join e on r.reach = e.src)
-    select id, min(reach) as component from r group by id""")
-def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parts(spark, sf_dir).connected_components()
+# labels spread by one edge in each round; the graph of parts is random and dense, so few rounds settle it
+_PARTS_ALL = f"""trade as materialized (with {tb.PART_EDGES_SQL} select src, dst from pe union select dst, src from pe)"""
+_COMPONENTS = _relaxed(_PARTS_ALL, "select distinct l_partkey as id, l_partkey as d from lineitem", "w.d", 24) + " select id, d as component from d24"
 
 
-# labels spread by one edge in each round; the graph of parts is random and dense, so few rounds settle it
-_PARTS_ALL = f"""trade as materialized (with {tb.PART_EDGES_SQL.replace(" where l_quantity >= 45", "")} select src, dst from pe union select dst, src from pe)"""
+@query(_COMPONENTS)
+def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parts(spark, sf_dir).connected_components()
 
 
-@query(_relaxed(_PARTS_ALL, "select distinct l_partkey as id, l_partkey as d from lineitem", "w.d", 24) + " select id, d as component from d24")
+@query(_COMPONENTS)
 def graph_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As graph_components, whose SQL has only the larger lines, over all of them."""
-    rows = tb.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"))
-    return Graph(tb.part_edges(spark, sf_dir, None), rows, directed=False).connected_components()
+    return graph_components(spark, sf_dir)
 
 
 @query("select 'trade' as graph, true as cyclic union all select 'turns', false union all select 'nations', true")
@@ -208,7 +202,7 @@ _TRADE_MST = _MST.replace(tb.NATION_EDGES_SQL, """ne as (select least(c_nationke
 
 @query(_TRADE_MST)
 def graph_prim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _all_trade(spark, sf_dir, directed=False).prim(0)
+    return _trade(spark, sf_dir, directed=False).prim(0)
 
 
 # the greatest flow is the least cut: one bit for each other nation of the source's region

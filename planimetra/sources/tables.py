@@ -47,21 +47,6 @@ def trade_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.where("src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, dst, weight: the top three trade_pairs of each src."""
-    pairs = trade_pairs(spark, sf_dir)
-    top = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst"))
-    return pairs.withColumn("rn", top).where("rn <= 3").drop("rn")
-
-
-TRADE_SQL = """trade as (select src, dst, weight from (
-    select c_nationkey as src, s_nationkey as dst, count(*)::double as weight,
-           row_number() over (partition by c_nationkey order by count(*) desc, s_nationkey) as rn
-    from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey
-         join supplier on l_suppkey = s_suppkey
-    where c_nationkey <> s_nationkey group by 1, 2) where rn <= 3)"""
-
-
 def nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, dst, weight between neighbouring nation keys and within regions: fixed at any scale."""
     n = table(spark, sf_dir, "nation")
@@ -75,10 +60,9 @@ NATION_EDGES_SQL = """ne as (select a.n_nationkey as src, b.n_nationkey as dst,
     from nation a join nation b on a.n_regionkey = b.n_regionkey where a.n_nationkey < b.n_nationkey)"""
 
 
-def part_edges(spark: SparkSession, sf_dir: str, least_quantity: float | None = 45) -> DataFrame:
-    """src, dst: parts that follow each other in an order's lines, the larger ones or all (None); undirected."""
+def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst: parts that follow each other in an order's lines; undirected."""
     rows = table(spark, sf_dir, "lineitem")
-    rows = rows if least_quantity is None else rows.where(F.col("l_quantity") >= least_quantity)
     w = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber")
     rows = rows.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"))
     return rows.where("dst is not null and src <> dst").select("src", "dst", F.lit(1.0).alias("weight"))
@@ -86,7 +70,7 @@ def part_edges(spark: SparkSession, sf_dir: str, least_quantity: float | None =
 
 PART_EDGES_SQL = """pe as (select src, dst from (select l_partkey as src,
     lead(l_partkey) over (partition by l_orderkey order by l_partkey, l_suppkey, l_linenumber) as dst
-    from lineitem where l_quantity >= 45) where dst is not null and src <> dst)"""
+    from lineitem) where dst is not null and src <> dst)"""
 
 
 def turn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
