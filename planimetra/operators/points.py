@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .spatial import distance_join
 
+#: Width of a cell as a share of the tolerance: all points of one cell are within tolerance of each other.
+SIDE = 0.707
+#: Points of one cell that a join meets in one part.
+HUB = 10_000
+#: Rounds after which the undecided points are settled in one task, if they are at most REST.
+ROUNDS, REST = 12, 100_000
+
 
 def counted(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """x, y, n: the distinct points and how often each occurs; points with NaN are left out."""
@@ -35,38 +42,73 @@ def best_match(probes: DataFrame, points: DataFrame, tolerance: float, probe: st
     return pairs.groupBy(probe).agg(F.min(F.struct("d2", "x", "y", "n")).alias("m")).select(probe, "m.x", "m.y", "m.n", "m.d2")
 
 
-def snapped(df: DataFrame, tolerance: float, order: str, x: str = "x", y: str = "y") -> DataFrame:
-    """x, y, n: points taken in the order of `order`; one within tolerance of an earlier
-    representative adds to the count of the nearest such, else it is a representative.
-
-    The rule looks only at points near each other, so chains of neighbouring grid cells are
-    settled apart: cells (of side tolerance) that touch form a group, and each group is one
-    sequential pass. Groups are as large as the data are dense; a table that is one dense
-    cloud needs a smaller tolerance.
-    """
-    from .graph import Graph
-
-    cell = df.select(order, F.col(x).alias("x"), F.col(y).alias("y")).withColumn("cx", F.floor(F.col("x") / tolerance)).withColumn("cy", F.floor(F.col("y") / tolerance))
-    name = F.concat_ws(",", "cx", "cy")
-    known = cell.select("cx", "cy").distinct()
-    around = F.array(*map(F.lit, (-1, 0, 1)))
-    beside = known.select(name.alias("src"), F.explode(F.transform(around, lambda k: F.col("cx") + k)).alias("nx"), F.col("cy").alias("y0")).select("src", "nx", F.explode(F.transform(around, lambda k: F.col("y0") + k)).alias("ny"))
-    edges = beside.join(known.select(F.col("cx").alias("nx"), F.col("cy").alias("ny")), ["nx", "ny"]).select("src", F.concat_ws(",", "nx", "ny").alias("dst"), F.lit(1.0).alias("weight"))
-    groups = Graph(edges, directed=False).connected_components().select(F.col("id").alias("cell"), F.col("component").alias("grp"))
-    rows = cell.withColumn("cell", name).join(groups, "cell").select("grp", order, "x", "y")
+def _greedy(points: DataFrame, tolerance: float) -> DataFrame:
+    """The representatives among at most REST points (o, x, y, cx, cy), one by one."""
 
     def settle(group: pd.DataFrame) -> pd.DataFrame:
-        near: dict[tuple[int, int], list[list[float]]] = {}
-        for px, py in group.sort_values(order)[["x", "y"]].itertuples(index=False):
-            cx, cy = int(px // tolerance), int(py // tolerance)
-            found = [((q[0] - px) ** 2 + (q[1] - py) ** 2, q[0], q[1], q) for i in (-1, 0, 1) for j in (-1, 0, 1) for q in near.get((cx + i, cy + j), ())]
-            best = min((f for f in found if f[0] <= tolerance * tolerance), default=None)
-            if best:
-                best[3][2] += 1
-            else:
-                near.setdefault((cx, cy), []).append([px, py, 1])
-        return pd.DataFrame([q for own in near.values() for q in own], columns=["x", "y", "n"]).astype({"n": "int64"})
+        kept: dict[tuple[int, int], tuple[float, float]] = {}  # a cell has one at most
+        rows = []
+        for o, x, y, cx, cy in group.sort_values(["o", "x", "y"])[["o", "x", "y", "cx", "cy"]].itertuples(index=False):
+            near = (kept.get((cx + i, cy + j)) for i in range(-2, 3) for j in range(-2, 3))
+            if all(q is None or (q[0] - x) ** 2 + (q[1] - y) ** 2 > tolerance * tolerance for q in near):
+                kept[cx, cy] = x, y
+                rows.append((o, x, y, cx, cy))
+        return pd.DataFrame(rows, columns=["o", "x", "y", "cx", "cy"])
 
-    return rows.groupBy("grp").applyInPandas(settle, "x double, y double, n long")
+    columns = ["o", "x", "y", "cx", "cy"]
+    kinds = ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in columns)
+    return points.select(*columns).groupBy(F.lit(1).alias("one")).applyInPandas(settle, kinds)
 
 
+def snapped(df: DataFrame, tolerance: float, order: str, x: str = "x", y: str = "y") -> DataFrame:
+    """x, y, n: points taken in the order of `order` (ties: the lesser (x, y)); one within
+    tolerance of an earlier representative adds to the count of the nearest such (ties: the
+    lesser), else it is a representative. Points with a null or NaN are left out.
+
+    Distinct points are decided in rounds. The first undecided point of a cell is a
+    representative if it comes before those of all cells that its tolerance can reach; then
+    what is within tolerance of a new one is decided too. A cell is so small that it has one
+    representative at most, so nothing is joined to more than 25 of them, however dense the
+    cloud, and the points of a full cell are dealt into parts. Orders that run along a chain of
+    points decide few in a round: what is left after ROUNDS is settled one by one if it is at
+    most REST points, else the rounds go on.
+    """
+    side, reach = tolerance * SIDE, tolerance * tolerance
+    rows = df.select(F.col(order).alias("o"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    rows = rows.withColumns({"cx": F.floor(F.col("x") / side), "cy": F.floor(F.col("y") / side)})
+    own, cell = F.struct("o", "x", "y"), ["cx", "cy"]
+    parts = cut(rows.groupBy(*cell).agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts")).where("parts > 1"))
+    one_or = F.coalesce("parts", F.lit(1))
+    apart = lambda q: (q["x"] - F.col("x")) ** 2 + (q["y"] - F.col("y")) ** 2
+
+    def dealt(points: DataFrame) -> DataFrame:
+        return points.join(parts, cell, "left").withColumn("part", F.pmod(F.xxhash64("o", "x", "y"), one_or).cast("int")).drop("parts")
+
+    def around(points: DataFrame) -> DataFrame:
+        """p in each cell that its tolerance can reach."""
+        beside = lambda c: F.explode(F.sequence(F.col(c) - 2, F.col(c) + 2)).alias(c)
+        return points.select("p", beside("cx"), "cy").select("p", "cx", beside("cy"))
+
+    def joined(points: DataFrame, kept: DataFrame) -> DataFrame:
+        """points with near, the representatives that may be within tolerance."""
+        near = around(kept).groupBy(*cell).agg(F.collect_list("p").alias("near"))
+        near = near.join(parts, cell, "left").withColumn("part", F.explode(F.sequence(F.lit(0), one_or - 1))).drop("parts")
+        return points.join(near, [*cell, "part"], "left")
+
+    def within(near: Column) -> Column:
+        return F.coalesce(F.exists(near, lambda q: apart(q) <= reach), F.lit(False))
+
+    left, kept, done = cut(dealt(rows.groupBy(*cell, "x", "y").agg(F.min("o").alias("o")))), None, 0
+    while kept is None or not left.isEmpty():
+        if done >= ROUNDS and left.limit(REST + 1).count() <= REST:
+            kept = kept.union(cut(_greedy(left, tolerance)).select(own.alias("p"), *cell))
+            break
+        heads = cut(left.groupBy(*cell).agg(F.min(own).alias("p")))
+        first = around(heads).groupBy(*cell).agg(F.min("p").alias("first"))
+        new = cut(heads.join(first, cell).where("p = first").select("p", *cell))
+        kept = new if kept is None else kept.union(new)
+        left = cut(joined(left, new).where(~within(F.col("near"))).select(*left.columns))
+        done += 1
+    earlier = F.filter("near", lambda q: (apart(q) <= reach) & (q <= own))
+    best = F.array_min(F.transform(earlier, lambda q: F.struct(apart(q).alias("d2"), q["x"].alias("x"), q["y"].alias("y"))))
+    return joined(dealt(rows), kept).select(best.alias("b")).groupBy("b.x", "b.y").agg(F.count("*").alias("n"))

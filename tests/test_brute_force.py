@@ -146,18 +146,41 @@ def test_sector_overlaps(spark, shapes):
     assert min(kinds.values()) > 0
 
 
-def test_snapped_points(spark):
-    rows = tb.customer_points(spark, SF_DIR).collect()
+def snapped_one_by_one(points, tolerance: float) -> list:
+    """x, y and count of the representatives of points (order, x, y)."""
     kept: list = []
-    for p in sorted(rows, key=lambda r: r.id):
-        near = [((q[0] - p.x) ** 2 + (q[1] - p.y) ** 2, q[0], q[1], q) for q in kept]
-        best = min((n for n in near if n[0] <= 0.04), default=None)
+    for _, x, y in sorted(points):
+        near = [((q[0] - x) ** 2 + (q[1] - y) ** 2, q[0], q[1], q) for q in kept]
+        best = min((n for n in near if n[0] <= tolerance * tolerance), default=None)
         if best:
             best[3][2] += 1
         else:
-            kept.append([p.x, p.y, 1])
+            kept.append([x, y, 1])
+    return sorted(map(tuple, kept))
+
+
+def test_snapped_points(spark):
+    rows = [(r.id, r.x, r.y) for r in tb.customer_points(spark, SF_DIR).collect()]
     found = sorted((r.x, r.y, r.n) for r in QUERIES["snapped_points"](spark, SF_DIR).collect())
-    assert found == sorted(map(tuple, kept)) and len(found) < len(rows)
+    assert found == snapped_one_by_one(rows, 0.2) and len(found) < len(rows)
+
+
+@pytest.mark.parametrize("rounds", [50, 1])
+def test_snapped_clouds_and_chains(spark, monkeypatch, rounds):
+    """A full cell, dense clouds with repeats, and a chain in order; with and without settling one by one."""
+    from planimetra.operators import points
+
+    monkeypatch.setattr(points, "HUB", 20)
+    monkeypatch.setattr(points, "ROUNDS", rounds)
+    rng = random.Random(3)
+    at = [(rng.gauss(0, 0.9), rng.gauss(0, 0.9)) for _ in range(300)] + [(5 + rng.random() / 9, 5 + rng.random() / 9) for _ in range(150)]
+    at += rng.choices(at, k=60) + [(-9 + k / 8, -7.5) for k in range(20)] + [(0.0, 1.0), (-0.0, 1.0)]
+    rng.shuffle(at)
+    rows = [(rng.randrange(200), x, y) for x, y in at[:-40]] + [(300 + k, x, y) for k, (x, y) in enumerate(sorted(at[-40:]))]
+    df = spark.createDataFrame([*rows, (1, None, 2.0), (2, math.nan, 3.0)], "id long, x double, y double")
+    found = sorted((r.x, r.y, r.n) for r in points.snapped(df, 0.5, "id").collect())
+    assert found == snapped_one_by_one(rows, 0.5)
+    assert points.snapped(df.limit(0), 0.5, "id").isEmpty()
 
 
 def test_clip_parts(spark):
