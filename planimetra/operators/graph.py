@@ -8,17 +8,56 @@ are kept: paths use the lightest, flows add them up. What can't be reached has n
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
 
-#: Largest component that depth-first search takes in one task; beyond, it refuses.
-DFS_VERTICES = 1_000_000
+#: A round of depth-first search loads all open edges if they are at most WALK_EDGES; else
+#: those of at most WALK vertices and WALK open calls, at most FAN of one vertex at a time.
+WALK_EDGES, WALK, FAN = 5_000_000, 20_000, 100
 #: Edges of one vertex that a join meets in one part.
 HUB = 10_000
 
 
+def _walker(whole: bool, base: int, count: int):
+    """A step of depth-first search: takes rows (src, dst, turn, depth) of neighbours not yet
+    visited and of open calls, those from depth base on, and gives the vertices visited, with
+    ord from count on, and the calls that are open at the end, with depth. Unless all is there
+    (whole), it knows the neighbours of vertices with a row, and at most FAN of each. Rows of
+    turn 0 name no neighbour; -1 stands for no depth and no ord."""
+
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        stack = group[group.depth >= 0].sort_values("depth").src.tolist()
+        beside: dict = {v: [] for v in group.src}
+        cut_off = set()
+        for v, w, turn in group[group.turn > 0].sort_values("dst", ascending=False)[["src", "dst", "turn"]].itertuples(index=False):
+            if whole or turn <= FAN:
+                beside[v].append(w)
+            else:
+                cut_off.add(v)
+        seen, ordered = set(), []
+        while stack:
+            v = stack[-1]
+            if v not in beside and not whole:
+                break
+            rest = beside.get(v, [])
+            while rest and rest[-1] in seen:
+                rest.pop()
+            if rest:
+                stack.append(rest.pop())
+                seen.add(stack[-1])
+                ordered.append(stack[-1])
+            elif v in cut_off:
+                break
+            else:
+                stack.pop()
+        n, m = len(ordered), len(stack)
+        return pd.DataFrame({"id": pd.Series(ordered + stack, dtype=object), "ord": [*range(count, count + n), *[-1] * m], "depth": [*[-1] * n, *range(base, base + m)]})
+
+    return walk
+
+
 class Graph:
     """edges has src, dst and weight (0 if missing); vertices has id, and is completed by the edges' ends."""
 
@@ -176,30 +215,45 @@ class Graph:
         return seen
 
     def dfs(self, start) -> DataFrame:
-        """id, ord: the preorder from start, least neighbour first. The order depends on every
-        step before, so start's component is walked in one task, and refused if it is larger
-        than DFS_VERTICES."""
-        reached = cut(self.bfs(start).select("id"))
-        if reached.limit(DFS_VERTICES + 1).count() > DFS_VERTICES:
-            raise ValueError(f"depth-first search takes at most {DFS_VERTICES} vertices")
+        """id, ord: the preorder from start, least neighbour first.
+
+        Each step depends on all before, so a task walks alone, but over a bounded part of the
+        graph: the last of the open calls, and the neighbours not yet visited of those and of
+        vertices whose breadth-first levels are near. It stops where it needs a neighbour that
+        isn't there; what it visited and its open calls are stored, and the next round loads
+        anew. A graph of any size is walked; one whose edges exceed WALK_EDGES takes many rounds.
+        """
+        levels = cut(self.bfs(start).select("id", "level"))
         kind = self.vertices.schema["id"].dataType.simpleString()
-
-        def walk(group: pd.DataFrame) -> pd.DataFrame:
-            beside: dict = {}
-            for a, b in group[["src", "dst"]].drop_duplicates().sort_values("dst", ascending=False).itertuples(index=False):
-                beside.setdefault(a, []).append(b)
-            stack, seen, ordered = [start], set(), []
-            while stack:
-                v = stack.pop()
-                if v not in seen:
-                    seen.add(v)
-                    ordered.append(v)
-                    stack += [w for w in beside.get(v, ()) if w not in seen]
-            return pd.DataFrame({"id": ordered, "ord": range(len(ordered))})
-
-        inside = self.edges.select("src", "dst").join(reached.withColumnRenamed("id", "src"), "src", "left_semi")
-        alone = reached.where(F.col("id") == F.lit(start)).select(F.col("id").alias("src"), F.col("id").alias("dst"))
-        return inside.unionByName(alone).groupBy(F.lit(1).alias("one")).applyInPandas(walk, f"id {kind}, ord long")
+        visited = cut(levels.where("level = 0").select("id", F.lit(0).cast("long").alias("ord")))
+        calls = cut(visited.select("id", F.col("ord").alias("depth")))
+        count, top = visited.count(), 0
+        edges = self.edges.select("src", "dst").where("src <> dst").distinct()
+        left = cut(edges.join(levels.select(F.col("id").alias("src")), "src", "left_semi").join(visited.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"))
+        while count and top >= 0:
+            whole = left.limit(WALK_EDGES + 1).count() <= WALK_EDGES
+            base = max(0, top + 1 - (WALK_EDGES if whole else WALK))
+            held = calls.where(F.col("depth") >= base)
+            steps = left.select("src", "dst", F.lit(1).alias("turn"))
+            if not whole:
+                at = calls.where(F.col("depth") == top).join(levels, "id").first()["level"]
+                near = levels.join(visited, "id", "left_anti").orderBy(F.abs(F.col("level") - at), "id").limit(WALK).select("id")
+                here = cut(held.select("id").union(near))
+                least = Window.partitionBy("src").orderBy("dst")
+                steps = left.join(here.withColumnRenamed("id", "src"), "src", "left_semi").withColumn("turn", F.row_number().over(least)).where(F.col("turn") <= FAN + 1)
+                # a loaded vertex has a row of turn 0, so that one without neighbours is known to have none
+                steps = steps.select("src", "dst", "turn").union(here.select("id", F.col("id"), F.lit(0)))
+            given = steps.withColumn("depth", F.lit(-1).cast("long")).union(held.select("id", F.col("id"), F.lit(0), "depth"))
+            walk = _walker(whole, base, count)
+            walked = cut(given.groupBy(F.lit(1).alias("one")).applyInPandas(walk, f"id {kind}, ord long, depth long"))
+            new = walked.where("ord >= 0").select("id", "ord")
+            visited = visited.union(new)
+            calls = cut(calls.where(F.col("depth") < base).union(walked.where("depth >= 0").select("id", "depth")))
+            left = cut(left.join(new.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"))
+            count += new.count()
+            deepest = calls.agg(F.max("depth")).first()[0]
+            top = -1 if deepest is None else deepest
+        return visited
 
     def topological(self, reverse: bool = False) -> DataFrame:
         """id, layer: each vertex comes in a later layer than those before it (sinks first if reversed); raises on a cycle."""

@@ -182,3 +182,30 @@ def test_trees_with_all_customers(spark, con):
     path = {(a, b): ">".join(up(a)[: up(a).index(t) + 1] + up(b)[: up(b).index(t)][::-1]) for (a, b), t in lca.items()}
     assert {(r.a, r.b): r.lca for r in rows("tree_lca_all")} == lca
     assert {(r.a, r.b): r.path for r in rows("tree_find_path_all")} == path
+
+
+def test_dfs_in_many_rounds(spark, monkeypatch):
+    """A part of the graph at a time, with a hub and a long way back."""
+    from planimetra.operators import graph
+
+    monkeypatch.setattr(graph, "WALK_EDGES", 6)
+    monkeypatch.setattr(graph, "WALK", 4)
+    monkeypatch.setattr(graph, "FAN", 2)
+    rng = random.Random(11)
+    edges = [(0, k) for k in range(1, 7)] + [(k, k + 1) for k in range(6, 10)] + [(rng.randrange(12), rng.randrange(12)) for _ in range(9)] + [(40, 41)]
+    out: dict = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+        out.setdefault(b, set()).add(a)
+    order, seen = [], set()
+
+    def visit(v) -> None:
+        seen.add(v)
+        order.append(v)
+        for w in sorted(out[v]):
+            if w not in seen:
+                visit(w)
+
+    visit(0)
+    found = Graph(spark.createDataFrame(edges, "src long, dst long"), directed=False).dfs(0).collect()
+    assert [r.id for r in sorted(found, key=lambda r: r.ord)] == order and [r.ord for r in sorted(found, key=lambda r: r.ord)] == list(range(len(order)))
