@@ -6,6 +6,7 @@ import math
 import os
 import random
 
+import numpy as np
 import pytest
 from compare import connect
 from pyspark.sql import functions as F
@@ -286,9 +287,13 @@ def test_long_and_turning_splines(spark):
         x += rng.choice([0.01, 1.0, 30.0])
         points.append((1, k, x, rng.uniform(-50, 50)))
     points += [(2, k, float(u), float(w)) for k, (u, w) in enumerate([(0, 1), (3, 4), (1, 2), (6, 0), (9, 5)])]
+    points += [(3, k, 1000 * math.sin(k) + k, rng.uniform(-50, 50)) for k in range(400)]
+    points += [(4, k, 10.0 * (k % 2), float(k)) for k in range(3)] + [(6, k, float(k - k // 99), 1.0) for k in range(200)] + [(5, k, float(u), 1.0) for k, u in enumerate([1, 2, 2, 3])]
     df = spark.createDataFrame(points, "path_id long, ord long, x double, y double")
     found = {(r.path_id, r.seg): r.curve for r in curves.natural(df).collect()}
-    for path in (1, 2):
+    for path, n in ((4, 2), (5, 3), (6, 199)):  # nothing determines the slopes
+        assert sum(p == path for p, _ in found) == n and all(math.isnan(c.c1.y) for (p, _), c in found.items() if p == path)
+    for path in (1, 2, 3):
         own = [(p[2], p[3]) for p in points if p[0] == path]
         n = len(own)
         assert sum(k[0] == path for k in found) == n - 1
@@ -307,6 +312,21 @@ def test_long_and_turning_splines(spark):
                 assert (b.p3.y - b.c2.y) / g == pytest.approx((c.c1.y - c.p0.y) / h, abs=1e-6 * max(1.0, abs((c.c1.y - c.p0.y) / h)))
 
 
+def test_blocks_of_blocks(spark, monkeypatch):
+    """Tridiagonal systems of several levels of blocks, without a strong diagonal."""
+    from planimetra.operators import curves
+
+    monkeypatch.setattr(curves, "BLOCK", 4)
+    rng, rows, want = random.Random(2), [], {}
+    for path, n in ((7, 70), (8, 5), (9, 4), (10, 17)):
+        eqs = [[rng.uniform(-1, 1) * (i > 0), rng.uniform(-2, 2), rng.uniform(-1, 1) * (i < n - 1), rng.uniform(-9, 9)] for i in range(n)]
+        matrix = np.diag([e[1] for e in eqs]) + np.diag([e[0] for e in eqs[1:]], -1) + np.diag([e[2] for e in eqs[:-1]], 1)
+        want |= {(path, i): m for i, m in enumerate(np.linalg.solve(matrix, [e[3] for e in eqs]))}
+        rows += [(path, i, n, e) for i, e in enumerate(eqs)]
+    found = curves._unknowns(spark.createDataFrame(rows, "path_id long, at long, count long, eq array<double>")).collect()
+    assert {(r.path_id, r["at"]): r.found[0] for r in found} == pytest.approx(want, rel=1e-6, abs=1e-6)
+
+
 def test_heap_and_order(spark):
     from planimetra.operators import ordered
 
