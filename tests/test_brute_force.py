@@ -337,6 +337,11 @@ def test_heap_and_order(spark):
     assert sorted((r.place, r.k) for r in placed) == list(enumerate(sorted([1, 3, 2, 7, 4, 2]), 1))
     assert ordered.least(numbers, "k").first().k == 1 and ordered.greatest(numbers, "k").first().k == 7
     assert ordered.add(numbers, numbers).count() == 12
+    many = [(k % 3, k, k + (5000 if k == bad else 0)) for bad in (None, 1500, 2999) for k in range(3000)]
+    frames = [spark.createDataFrame(many[i : i + 3000], "g int, at long, k long").repartition(5) for i in (0, 3000, 6000)]
+    assert [ordered.is_ordered(f, "at", "k").first().valid for f in frames] == [True, False, True]
+    assert [ordered.is_ordered(f, "at", "k", "g").first().valid for f in frames] == [True, False, True]
+    assert ordered.is_ordered(frames[0].limit(0), "at", "k").first().valid
 
 
 def test_spatial_layout_is_readable(spark, tmp_path):
