@@ -21,6 +21,7 @@ import functools
 import heapq
 import json
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -43,6 +44,8 @@ _SPACE = re.compile(r"[ \t-\r]+")
 # which its other steps (composition, lower case by character) have nothing else to do.
 _RUN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _SIMPLE = re.compile(r"[!-~\u00c0-\u012f\u0131-\u017f]+")
+#: Marks that make a run of their own behind a word, and what str.split takes for white space besides _SPACE.
+_STOPS, _SEPARATORS = frozenset(".,;:!?"), "\x1c\x1d\x1e\x1f"
 
 
 def _byte_letters() -> dict[int, int]:
@@ -71,8 +74,10 @@ class Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.runs, self.letters = Tokenizer.from_file(path), {}, _byte_letters()
-        known = json.loads(self.tokenizer.to_str())
+        self.model, known = self.tokenizer.model, json.loads(self.tokenizer.to_str())
         pre, self.special = known["pre_tokenizer"], [x["content"] for x in known["added_tokens"]]
+        # special tokens might lie within a word; those that no letters and mark can spell out need no search
+        self.by_letters = not any(re.fullmatch(r"[A-Za-z]*[.,;:!?]?", x) for x in self.special)
         self.by_runs = [x.get("pattern", {}).get("Regex") for x in (pre or {}).get("pretokenizers", [])][:1] == [_RUN.pattern]
         self.by_words = True
         same = lambda: all(_ids(text, self) == self.whole(text) for text in PROBES)
@@ -87,7 +92,14 @@ class Words(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if self.by_runs and _SIMPLE.fullmatch(word) and not any(s in word for s in self.special):
+        body, stop = (word[:-1], word[-1]) if word[-1] in _STOPS else (word, "")
+        if self.by_runs and self.by_letters and body.isalpha() and (body.isascii() or _SIMPLE.fullmatch(body)):
+            # one run of letters, and perhaps one mark
+            run = body.lower()
+            ids = self.runs.get(run) or self._merged(run)
+            if stop:
+                ids += self.runs.get(stop) or self._merged(stop)
+        elif self.by_runs and _SIMPLE.fullmatch(word) and not any(s in word for s in self.special):
             ids = b"".join(self.runs.get(r) or self._merged(r) for r in _RUN.findall(word.lower()))
         else:
             ids = self.whole(word)
@@ -96,8 +108,9 @@ class Words(dict):
         return ids
 
     def _merged(self, run: str) -> bytes:
-        letters = run.encode("utf-8").decode("latin-1").translate(self.letters)
-        ids = np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
+        letters = run if run.isascii() else run.encode("utf-8").decode("latin-1").translate(self.letters)  # no run has white space
+        found = [t.id for t in self.model.tokenize(letters)]
+        ids = struct.pack(f"<{len(found)}I", *found)
         if len(self.runs) >= CACHED_RUNS:
             self.runs.clear()
         self.runs[run] = ids
@@ -112,7 +125,11 @@ def _words(path: str) -> Words:
 
 def _ids(text: str, words: Words) -> bytes:
     """A text's token ids, little-endian, of four bytes each."""
-    return b"".join(map(words.__getitem__, filter(None, _SPACE.split(text)))) if words.by_words else words.whole(text)
+    if not words.by_words:
+        return words.whole(text)
+    # str.split is the faster one, where it means the same white space
+    plain = text.isascii() and not any(c in text for c in _SEPARATORS)
+    return b"".join(map(words.__getitem__, text.split() if plain else filter(None, _SPACE.split(text))))
 
 
 def token_count(text: str, tokenizer: str) -> int:
