@@ -261,3 +261,22 @@ def test_hypergeometric_law():
     assert abs(np.mean(drawn) - 12) < 0.2 and abs(np.var(drawn) - 40 * 0.3 * 0.7 * 60 / 99) < 0.5
     matrix = sharding.communication_matrix([7, 0, 90, 3], 6)
     assert [sum(r) for r in matrix] == [7, 0, 90, 3] and [sum(c) for c in zip(*matrix)] == [17, 17, 17, 17, 16, 16]
+
+
+def test_words_have_the_librarys_ids():
+    """Words encoded one by one or by runs, against the library on whole texts; caches empty and full."""
+    words = packing._words(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [
+        "don't I'll. DON'T! a\x1cb c\x1dd\x1f \x1e", "\x0b\x0cword, Word; WORD: word? it's. 'S . ,", "naïve. É, ǅ ×x x÷! ÀÉÎ: straße ŒUVRE? ñar.!!",
+        "<|startoftext|> hello<|endoftext|>there x<|endoftext|>.", "a. .a !! ?x x? ''' 's's l'été", "İstanbul ſ. K ıi.", "é.  x y　z\x85w",
+        "in### tion*** 3.14. x1 1x. " * 40, "Onheth, onheth, ONHETH", "﻿word. ‍x", "東京。 привет, мир!",
+    ]
+    for _ in range(2):
+        assert [packing._ids(t, words) for t in texts] == [words.whole(t) for t in texts]
+    full, packing.CACHED_WORDS = packing.CACHED_WORDS, 0
+    try:
+        words.clear()
+        words.runs.clear()
+        assert [packing._ids(t, words) for t in texts] == [words.whole(t) for t in texts]
+    finally:
+        packing.CACHED_WORDS = full
