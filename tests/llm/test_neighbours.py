@@ -62,7 +62,7 @@ def test_equal_vectors_and_ties(spark):
 
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
-    fine = {0: [1, 2, 3], 20: [1, 2], 3: [0, 0, 1], 40: [-1, 0, 0], 60: [1e-30, 0, 0]}
+    fine = {0: [1, 2, 3], 20: [1, 2], 3: [0, 0, 1], 40: [-1, 0, 0], 60: [0.125, 0, 0]}
     odd = [(80, None), (100, [0, 0, 0]), (120, [1, nan, 0]), (140, [inf, 0, 0]), (160, [1, None, 2]), (None, [1, 1, 1]), (180, []), (0, [1, 2, 3]), (0, [1, 2, 2])]
     assert searched(frame(spark, [*fine.items(), *odd])) == by_brute_force(fine)
     assert searched(frame(spark, odd[:7])) == {} and searched(frame(spark, [(20, [1, 2])])) == {}
