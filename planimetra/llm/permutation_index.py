@@ -34,11 +34,11 @@ from .runtime import hubs, join_split, materialise, stored
 K, EVERY = 20, 20
 #: Pivots are PIVOTS distinct vectors (those with the least hashes; all, if there are fewer): what
 #: the index is fitted on. An entry is posted to the files of its M nearest.
-PIVOTS, M = 512, 64
+PIVOTS, M = 1024, 64
 #: The share of entries whose exact product is taken, and how many at least (over all blocks).
 SHARE, LEAST = 1 / 8, 2048
-#: A block has at most about BLOCK entries; in smaller tables there are BLOCKS, of SMALL at least.
-BLOCK, BLOCKS, SMALL = 65_536, 64, 1024
+#: A block has at most about BLOCK entries; in smaller tables there are BLOCKS.
+BLOCK, BLOCKS = 65_536, 16
 #: Queries in a block of queries, about.
 QUERIES = 1024
 
@@ -69,7 +69,13 @@ def _flat(column: pa.Array, dims: int) -> np.ndarray:
 
 def _nearest(x: np.ndarray, pivots: np.ndarray, m: int) -> np.ndarray:
     """The m nearest pivots of each row, in order; equally near ones in theirs."""
-    return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :m]
+    out = np.empty((len(x), m), np.int64)
+    for at in range(0, len(x), 4096):
+        far = -(x[at : at + 4096] @ pivots.T)
+        near = np.sort(np.argpartition(far, m - 1, axis=1)[:, :m], axis=1)
+        order = np.argsort(np.take_along_axis(far, near, 1), axis=1, kind="stable")
+        out[at : at + 4096] = np.take_along_axis(near, order, 1)
+    return out
 
 
 def _lengthened(x: np.ndarray, greatest: float) -> np.ndarray:
@@ -87,6 +93,7 @@ class Files:
         by_pivot = np.argsort(named, axis=None, kind="stable")
         self.who, self.place = by_pivot // self.m, by_pivot % self.m
         self.start = np.searchsorted(named.ravel()[by_pivot], np.arange(len(pivots) + 1))
+        self.slack = 1e-9 * float(np.abs(x).max())
 
     def orders(self, queries: np.ndarray) -> np.ndarray:
         return _nearest(queries, self.pivots[:, :-1], self.m)
@@ -97,26 +104,29 @@ class Files:
         A pivot that an order doesn't name stands at place m. The distance is then m (m + 1),
         less 2 (m - the larger of the two places) for each pivot that both name.
         """
-        parts = [slice(self.start[p], self.start[p + 1]) for p in order]
-        who = np.concatenate([self.who[s] for s in parts])
-        gain = np.concatenate([self.m - np.maximum(self.place[s], r) for r, s in enumerate(parts)])
-        return np.bincount(who, gain, len(self.x))
-
-    def search(self, query: np.ndarray, order: np.ndarray, rerank: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest (and those as near as the last) among the `rerank` vectors of least
-        footrule distance and those at the same distance as the last: places and exact products."""
+        first, size = self.start[order], np.diff(self.start)[order]
+        at = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+        gain = self.m - np.maximum(self.place[at], np.repeat(np.arange(self.m), size))
+        return np.bincount(self.who[at], gain, len(self.x))
+
+    def search(self, query: np.ndarray, order: np.ndarray, rerank: int, k: int) -> np.ndarray:
+        """The k nearest (and those that rounding may have put behind them) among the `rerank`
+        vectors of least footrule distance and those at the same distance as the last."""
         found = np.arange(len(self.x))
         if rerank < len(found):
             near = self.agreement(order)
             found = np.flatnonzero(near >= np.partition(near, -rerank)[-rerank])
         about = self.x[found] @ query
         if k < len(found):
-            slack = 1e-9 * np.abs(self.x[found]).max() * np.abs(query).sum()
-            found = found[about >= np.partition(about, -k)[-k] - slack]
+            found = found[about >= np.partition(about, -k)[-k] - self.slack * np.abs(query).sum()]
+        return found
+
+    def products(self, found: np.ndarray, queries: np.ndarray) -> np.ndarray:
+        """Inner products of pairs, one component after the other, whatever the block."""
         score = np.zeros(len(found))
-        for d in range(self.x.shape[1]):  # one component after the other, whatever the block
-            score += self.x[found, d] * query[d]
-        return found, score
+        for d in range(self.x.shape[1]):
+            score += self.x[found, d] * queries[:, d]
+        return score
 
 
 def nearest(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", every: int = EVERY, k: int = K, share: float = SHARE, least: int = LEAST) -> DataFrame:
@@ -130,8 +140,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding
     sample = nodes.orderBy("key").select(v).limit(PIVOTS).toArrow().column(0).combine_chunks()
     pivots = _lengthened(_flat(sample, dims), greatest)
 
-    size = max(SMALL, min(BLOCK, n // BLOCKS))
-    blocks = max(1, -(-n // size))
+    blocks = max(BLOCKS, -(-n // BLOCK))
     rerank = max(share, min(1.0, least / n))
     asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "key", "vector")
     asked = stored(join_split(asked, nodes.select("key", F.col("entry").alias("asked")), "key", "query_id", hubs(asked, "key")).drop("key"))
@@ -160,14 +169,11 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding
                     last, ids = block, batch.column(1)[row].values
                 names = batch.column(3)[row].values.to_numpy()
                 queries = batch.column(4)[row].values.to_numpy().reshape(-1, dims)
-                out, at, scores = [], [], []
-                for name, query, order in zip(names, queries, files.orders(queries)):
-                    found, score = files.search(query, order, int(np.ceil(rerank * len(files.x))), k + 1)
-                    out.append(np.full(len(found), name))
-                    at.append(found)
-                    scores.append(score)
-                columns = [pa.array(np.concatenate(out)), ids.take(pa.array(np.concatenate(at))), pa.array(np.concatenate(scores))]
-                yield pa.RecordBatch.from_arrays(columns, ["asked", "ids", "score"])
+                most = int(np.ceil(rerank * len(files.x)))
+                found = [files.search(query, order, most, k + 1) for query, order in zip(queries, files.orders(queries))]
+                of, at = np.repeat(np.arange(len(queries)), [len(f) for f in found]), np.concatenate(found)
+                score = files.products(at, queries[of])
+                yield pa.RecordBatch.from_arrays([pa.array(names[of]), ids.take(pa.array(at)), pa.array(score)], ["asked", "ids", "score"])
 
     index = stored(nodes.select(F.pmod(F.xxhash64("entry"), F.lit(blocks)).cast("int").alias("block"), "ids", "vector").groupBy("block").applyInArrow(built, "block int, ids array<array<long>>, xs array<double>"))
     queries = wanted.select(F.pmod(F.xxhash64("asked"), F.lit(groups)).cast("int").alias("group"), "asked", "vector").groupBy("group").applyInArrow(gathered, "asked array<long>, qs array<double>")
