@@ -7,10 +7,11 @@ ever looked at. The two ids that a phrase was named after are its parents: follo
 gives every part that a cut makes, and a phrase is subsumed if it is a parent of one that is
 nearly as frequent (a longer phrase further up is no more frequent than the one between).
 
-Only the distinct pairs of a block leave it. They meet those of all blocks once, in a shuffle by
-pair that sums their counts, drops the rare ones and names the rest (ids are of a length of phrase) after one of their places;
-the names go back to the block, which replaces its positions. Nothing is broadcast, and a pair
-that is everywhere has one row for each block.
+Only the distinct pairs of a block leave it, packed in arrays by bucket (a hash of the pair).
+A bucket's arrays of all blocks meet once: counts are summed, rare pairs dropped and the rest
+named, and the names go back to the blocks, which replace their positions. The number of buckets
+grows with the texts, so a bucket doesn't; a pair that is everywhere has one entry for each
+block. Nothing is broadcast but tables of a checked size.
 
 Defined cases: a null text is empty, and a null lang is `und`; texts without words add nothing;
 a very long text is spread over blocks, broken only between pieces, and a piece is whole; all
@@ -20,10 +21,12 @@ table gives none; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,14 +37,16 @@ LONGEST, MIN_COUNT, TOP = 4, 30, 2000
 #: A phrase goes if one that holds it has this share of its occurrences, in hundredths.
 SUBSUMED = 80
 #: A block is closed at the end of the piece with which it has so many words.
-BLOCK = 1_000_000
-#: An id is the block times BLOCK_IDS and the place of a pair among the block's; a block is the task
-#: times TASK_BLOCKS and its place among the task's: room for two million tasks of some 16 billion words.
-BLOCK_IDS, TASK_BLOCKS = 1 << 28, 1 << 14
+BLOCK = 500_000
+#: There are BUCKETS buckets and one more for each BUCKET_BYTES of text.
+BUCKETS, BUCKET_BYTES = 64, 32 << 20
+#: A task numbers its blocks below TASK_BLOCKS; ids of a length of phrase are the bucket times
+#: BUCKET_IDS and a number within it.
+TASK_BLOCKS, BUCKET_IDS = 1 << 32, 1 << 36
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _MARKS = bytes.maketrans(_BREAKS, b"\xff" * len(_BREAKS))
-_BLOCK_SCHEMA = "codes array<int>, counts array<long>"
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Codes(dict):
@@ -57,28 +62,48 @@ def _pieces(text: bytes) -> list[bytes]:
     return text.lower().translate(_MARKS).replace(b"\xff", b" \xff ").split()
 
 
-def word_blocks(docs: DataFrame) -> DataFrame:
-    """block, codes (a place in words for each position, -1 between pieces), counts, langs, words."""
+def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+
+
+def _packed(block: int, codes: np.ndarray, bucket: np.ndarray, counts: np.ndarray, keys: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """The rows of a block: its positions under bucket -1, then its entries by bucket."""
+    order = np.argsort(bucket, kind="stable")
+    found, starts = np.unique(bucket[order], return_index=True)
+    ends = np.concatenate([[0], starts[1:], [len(order)]] if len(order) else [[0]]).astype(np.int32)
+    none = lambda a: np.concatenate([[0], a])
+    columns = {
+        "block": pa.array(np.full(len(found) + 1, block)),
+        "bucket": pa.array(none(found) + np.where(np.arange(len(found) + 1) == 0, -1, 0), pa.int32()),
+        "places": _lists(np.concatenate([codes, order]).astype(np.int32), np.concatenate([[0], ends + len(codes)])),
+        "counts": _lists(counts[order].astype(np.int64), none(ends)),
+    }
+    columns |= {name: _lists(values[order], none(ends)) for name, values in keys.items()}
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def word_blocks(docs: DataFrame, buckets: int) -> DataFrame:
+    """block, bucket, places, counts, words. Under bucket -1 places has an entry's number for each
+    position, and -1 between pieces; else the numbers of entries. words are language, tab, word."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[str, np.ndarray, _Codes]] = []
-        size = 0
+        held: list[tuple[str, np.ndarray]] = []
+        tables: dict[str, _Codes] = {}
+        size, block = 0, TaskContext.get().partitionId() * TASK_BLOCKS
 
         def passed_on() -> pa.RecordBatch:
-            tables: dict[str, _Codes] = {lang: codes for lang, _, codes in held}
             first, n = {}, 0
             for lang, codes in tables.items():
                 first[lang] = n
                 n += len(codes) - 1
-            at = [np.where(own > 0, own - 1 + first[lang], -1).astype(np.int32) for lang, own, _ in held]
-            positions = np.concatenate(at)
-            counts = np.bincount(positions[positions >= 0], minlength=n)
-            words = [w.decode("utf-8") for codes in tables.values() for w in list(codes)[1:]]
-            langs = [lang for lang, codes in tables.items() for _ in range(len(codes) - 1)]
-            columns = [pa.array([x], t) for x, t in ((positions, pa.list_(pa.int32())), (counts, pa.list_(pa.int64())), (langs, pa.list_(pa.string())), (words, pa.list_(pa.string())))]
-            return pa.RecordBatch.from_arrays(columns, ["codes", "counts", "langs", "words"])
+            positions = np.concatenate([np.where(own > 0, own - 1 + first[lang], -1) for lang, own in held])
+            keys, bucket = [], np.zeros(n, np.int64)
+            for lang, codes in tables.items():
+                words = list(codes)[1:]
+                bucket[first[lang] : first[lang] + len(words)] = [crc32(w) % buckets for w in words]
+                keys += [f"{lang}\t{w.decode()}" for w in words]
+            return _packed(block, positions, bucket, np.bincount(positions[positions >= 0], minlength=n), {"words": np.array(keys, object)})
 
-        tables: dict[str, _Codes] = {}
         for batch in batches:
             langs, texts = batch.column(0), batch.column(1).cast(pa.binary())
             for lang, text in zip(langs.to_pylist(), texts):
@@ -91,63 +116,97 @@ def word_blocks(docs: DataFrame) -> DataFrame:
                         except ValueError:
                             pass
                     codes = tables.setdefault(lang, _Codes({b"\xff": 0}))
-                    held.append((lang, np.fromiter(map(codes.__getitem__, words[:stop]), np.int32, stop), codes))
+                    held.append((lang, np.fromiter(map(codes.__getitem__, words[:stop]), np.int32, stop)))
                     size += stop
                     words = [b"\xff", *words[stop:]] if stop < len(words) else []
                     if size >= BLOCK:
                         yield passed_on()
-                        held, tables, size = [], {}, 0
+                        held, tables, size, block = [], {}, 0, block + 1
         if held:
             yield passed_on()
 
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    blocks = rows.mapInArrow(cut, f"{_BLOCK_SCHEMA}, langs array<string>, words array<string>")
-    uid = F.monotonically_increasing_id()  # counts a task's rows below 2^33
-    return stored(blocks.withColumn("uid", uid).withColumn("block", F.shiftright("uid", 33) * TASK_BLOCKS + F.col("uid").bitwiseAND(F.lit((1 << 33) - 1))).drop("uid"))
-
-
-def named(blocks: DataFrame, *keys: str) -> DataFrame:
-    """block, code, id, a and the keys of each entry of the blocks (parallel arrays named after the
-    keys with an s) that is frequent overall. One of the entries of a key lends it the id."""
-    arrays = [f"{k}s" for k in keys]
-    rows = blocks.select("block", F.posexplode(F.arrays_zip("counts", *arrays)).alias("code", "entry")).select("block", "code", F.col("entry.counts").alias("count"), *[F.col(f"entry.{k}s").alias(k) for k in keys])
-    same = Window.partitionBy(*keys)
-    own = F.col("block") * BLOCK_IDS + F.col("code")
-    rows = rows.withColumns({"a": F.sum("count").over(same), "id": F.min(own).over(same)})
-    return stored(rows.where(F.col("a") >= MIN_COUNT).select("block", "code", "id", "a", *keys))
-
-
-def firsts(entries: DataFrame) -> DataFrame:
-    """One row for each id: that of the entry which lent it."""
-    return entries.where(F.col("id") == F.col("block") * BLOCK_IDS + F.col("code")).drop("block", "code")
-
-
-def pair_blocks(blocks: DataFrame, entries: DataFrame) -> DataFrame:
-    """The blocks with the pairs of adjacent ids in place of the positions: block, codes (-1 where
-    a position and the next don't both have an id), counts, lefts, rights."""
-    names = entries.groupBy("block").agg(F.collect_list(F.struct("code", "id")).alias("names"))
-
-    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                codes, names = (batch.column(k)[row].values for k in (1, 2))
-                codes = codes.to_numpy(zero_copy_only=False)
-                code, name = (names.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-                n = max(int(codes.max(initial=-1)), int(code.max(initial=-1))) + 1
-                rank = np.full(n + 1, -1, np.int64)  # the last is for -1
-                rank[code] = np.arange(len(code))
-                at = rank[codes]
-                both = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0))
-                keys, codes_of, counts = np.unique(at[both] * len(code) + at[both + 1], return_inverse=True, return_counts=True)
-                out = np.full(len(codes), -1, np.int32)
-                out[both] = codes_of
-                left, right = np.divmod(keys, max(1, len(code)))
-                lists = ((out, pa.int32()), (counts, pa.int64()), (name[left], pa.int64()), (name[right], pa.int64()))
-                columns = [batch.column(0).slice(row, 1), *[pa.array([x], pa.list_(t)) for x, t in lists]]
-                yield pa.RecordBatch.from_arrays(columns, ["block", "codes", "counts", "lefts", "rights"])
-
-    met = blocks.select("block", "codes").join(names, "block")
-    return stored(met.mapInArrow(paired, f"block long, {_BLOCK_SCHEMA}, lefts array<long>, rights array<long>"))
+    return stored(rows.mapInArrow(cut, "block long, bucket int, places array<int>, counts array<long>, words array<string>"))
+
+
+def _same_words(table: pa.Table) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """A number for each entry of a bucket, equal for equal ones, and the keys by number."""
+    coded = pa.concat_arrays([c.flatten() for c in table["words"].chunks]).dictionary_encode()
+    return coded.indices.to_numpy(), {"words": coded.dictionary}
+
+
+def _same_pairs(table: pa.Table) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    left, right = (np.concatenate([c.flatten().to_numpy() for c in table[k].chunks]) for k in ("lefts", "rights"))
+    order = np.lexsort((right, left))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(left[order]) != 0) | (np.diff(right[order]) != 0)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, {"lefts": pa.array(left[order][new]), "rights": pa.array(right[order][new])}
+
+
+def named(blocks: DataFrame, same: Callable, keys: str) -> DataFrame:
+    """For each block (block, places, ids) the entries that are frequent overall and their ids; and
+    under block -1 all ids of a bucket with their counts (in totals) and keys."""
+
+    def name(table: pa.Table) -> pa.Table:
+        number, by_number = same(table)
+        counts = np.concatenate([c.flatten().to_numpy() for c in table["counts"].chunks])
+        totals = np.zeros(len(next(iter(by_number.values()))), np.int64)
+        np.add.at(totals, number, counts)
+        frequent = np.flatnonzero(totals >= MIN_COUNT)
+        ids = np.full(len(totals), -1, np.int64)
+        ids[frequent] = table["bucket"][0].as_py() * BUCKET_IDS + np.arange(len(frequent))
+        places = np.concatenate([c.flatten().to_numpy() for c in table["places"].chunks])
+        of = np.repeat(np.arange(table.num_rows), np.concatenate([c.value_lengths().to_numpy() for c in table["places"].chunks]))
+        kept = ids[number] >= 0
+        ends = np.concatenate([[0], np.cumsum(np.bincount(of[kept], minlength=table.num_rows))])
+        no_lists = np.zeros(table.num_rows + 2, np.int64)
+        no_lists[-1] = len(frequent)
+        columns = {
+            "block": pa.array([*table["block"].to_pylist(), -1], pa.int64()),
+            "places": _lists(places[kept], np.append(ends, ends[-1])),
+            "ids": _lists(np.concatenate([ids[number][kept], ids[frequent]]), np.append(ends, ends[-1] + len(frequent))),
+            "totals": _lists(totals[frequent], no_lists),
+        }
+        columns |= {k: _lists(v.take(pa.array(frequent)), no_lists) for k, v in by_number.items()}
+        return pa.table(columns)
+
+    rows = blocks.where("bucket >= 0").groupBy("bucket").applyInArrow(name, f"block long, places array<int>, ids array<long>, totals array<long>, {keys}")
+    return stored(rows.where((F.size("places") > 0) | (F.size("totals") > 0)))
+
+
+def firsts(names: DataFrame, *keys: str) -> DataFrame:
+    """id, a and the keys: one row for each id."""
+    arrays = ["ids", "totals", *[f"{k}s" for k in keys]]
+    entry = names.where("block = -1").select(F.explode(F.arrays_zip(*arrays)).alias("e"))
+    return entry.select(F.col("e.ids").alias("id"), F.col("e.totals").alias("a"), *[F.col(f"e.{k}s").alias(k) for k in keys])
+
+
+def pair_blocks(blocks: DataFrame, names: DataFrame, buckets: int) -> DataFrame:
+    """The blocks with pairs of adjacent ids in place of entries: block, bucket, places, counts, lefts, rights."""
+
+    def paired(held: pa.Table, named: pa.Table) -> pa.Table:
+        schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("places", pa.list_(pa.int32())), *[(k, pa.list_(pa.int64())) for k in ("counts", "lefts", "rights")]])
+        if not held.num_rows or not named.num_rows:
+            return schema.empty_table()
+        codes = held["places"].combine_chunks().flatten().to_numpy()
+        place, name = (named[k].combine_chunks().flatten().to_numpy() for k in ("places", "ids"))
+        rank = np.full(max(int(codes.max(initial=0)), int(place.max())) + 2, -1, np.int64)  # the last is for -1
+        rank[place] = np.arange(len(place))
+        at = rank[codes]
+        both = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0))
+        keys, number, counts = np.unique(at[both] * len(place) + at[both + 1], return_inverse=True, return_counts=True)
+        out = np.full(len(codes), -1, np.int64)
+        out[both] = number
+        left, right = (name[k] for k in np.divmod(keys, len(place)))
+        mixed = (left.astype(np.uint64) * _ODD ^ right.astype(np.uint64)) * _ODD
+        bucket = ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        return pa.Table.from_batches([_packed(held["block"][0].as_py(), out, bucket, counts, {"lefts": left, "rights": right})]).cast(schema)
+
+    own = blocks.where("bucket = -1").select("block", "places").groupBy("block")
+    back = names.where("block >= 0").select("block", "places", "ids").groupBy("block")
+    return stored(own.cogroup(back).applyInArrow(paired, "block long, bucket int, places array<int>, counts array<long>, lefts array<long>, rights array<long>"))
 
 
 def _wide(count: Column, digits: int = 20) -> Column:
@@ -164,16 +223,19 @@ def _cut_score(a: Column, left: Column, right: Column) -> Column:
 def phrases(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All candidates (id, lang, phrase, a, left, right, heads, tails, words), and lang, n. heads has
     the occurrences of the first word, the first two and so on, tails those of the last ones."""
-    blocks = word_blocks(docs)
-    totals = blocks.select(F.explode(F.arrays_zip("langs", "counts")).alias("e")).groupBy(F.col("e.langs").alias("lang")).agg(F.sum("e.counts").alias("n"))
-    entries = named(blocks, "lang", "word")
+    buckets = BUCKETS + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES
+    blocks = word_blocks(docs, buckets)
+    lang, word = F.expr("substring_index(word, '\t', size(split(word, '\t')) - 1)"), F.substring_index("word", "\t", -1)
+    entry = blocks.where("bucket >= 0").select(F.explode(F.arrays_zip("words", "counts")).alias("e")).select(F.col("e.words").alias("word"), F.col("e.counts").alias("n"))
+    totals = materialise(entry.groupBy(lang.alias("lang")).agg(F.sum("n").alias("n")))
+    names = named(blocks, _same_words, "words array<string>")
     none = F.array().cast("array<long>")
-    known = materialise(firsts(entries).select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", none.alias("heads"), none.alias("tails")))
+    known = materialise(firsts(names, "word").select("id", lang.alias("lang"), word.alias("phrase"), word.alias("last"), "a", none.alias("heads"), none.alias("tails")))
     found = []
     for words in range(2, LONGEST + 1):
-        blocks = pair_blocks(blocks, entries)
-        entries = named(blocks, "left", "right")
-        own = firsts(entries)
+        blocks = pair_blocks(blocks, names, buckets)
+        names = named(blocks, _same_pairs, "lefts array<long>, rights array<long>")
+        own = materialise(firsts(names, "left", "right"))
         side = lambda key, *cols: small_or_not(known.select(F.col("id").alias(key), *cols))  # noqa: E731, B023
         one = join_split(own, side("left", "lang", "phrase", F.concat("heads", F.array("a")).alias("heads")), "left", "right", hubs(own, "left"))
         both = join_split(one, side("right", "last", F.concat("tails", F.array("a")).alias("tails")), "right", "left", hubs(own, "right"))
