@@ -7,8 +7,8 @@ ever looked at. The two ids that a phrase was named after are its parents: follo
 gives every part that a cut makes, and a phrase is subsumed if it is a parent of one that is
 nearly as frequent (a longer phrase further up is no more frequent than the one between).
 
-Only the distinct pairs of a block leave it, packed in arrays by bucket (a hash of the pair).
-A bucket's arrays of all blocks meet once: counts are summed, rare pairs dropped and the rest
+Only the distinct pairs of a block leave it, packed by bucket (a hash of the pair).
+The entries of a bucket in all blocks meet once: counts are summed, rare pairs dropped and the rest
 named, and the names go back to the blocks, which replace their positions. The number of buckets
 grows with the texts, so a bucket doesn't; a pair that is everywhere has one entry for each
 block. Nothing is broadcast but tables of a checked size.
@@ -21,6 +21,7 @@ table gives none; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from zlib import crc32
 
@@ -62,29 +63,40 @@ def _pieces(text: bytes) -> list[bytes]:
     return text.lower().translate(_MARKS).replace(b"\xff", b" \xff ").split()
 
 
-def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+def _bytes(values: np.ndarray | list[str]) -> bytes:
+    """Numbers by the significance of their bytes, so that small ones compress to nothing; words by line."""
+    if isinstance(values, list):
+        return "\n".join(values).encode()
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
 
 
-def _packed(block: int, codes: np.ndarray, bucket: np.ndarray, counts: np.ndarray, keys: dict[str, np.ndarray]) -> pa.RecordBatch:
-    """The rows of a block: its positions under bucket -1, then its entries by bucket."""
+def _numbers(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
+    """The numbers of each row."""
+    size = np.dtype(kind).itemsize
+    return [np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel() for b in column.to_pylist()]
+
+
+#: The columns that hold a row's numbers, and their types.
+_KINDS = {"places": np.int32, "counts": np.int64, "ids": np.int64, "totals": np.int64, "lefts": np.int64, "rights": np.int64}
+
+
+def _packed(block: int, codes: np.ndarray, bucket: np.ndarray, counts: np.ndarray, keys: dict, sums: np.ndarray = np.zeros(0, np.int64), own: dict = {}) -> pa.RecordBatch:  # noqa: B006, B008
+    """The rows of a block: under bucket -1 its positions (with sums for counts, and keys of its own), then its entries by bucket."""
     order = np.argsort(bucket, kind="stable")
     found, starts = np.unique(bucket[order], return_index=True)
-    ends = np.concatenate([[0], starts[1:], [len(order)]] if len(order) else [[0]]).astype(np.int32)
-    none = lambda a: np.concatenate([[0], a])
-    columns = {
-        "block": pa.array(np.full(len(found) + 1, block)),
-        "bucket": pa.array(none(found) + np.where(np.arange(len(found) + 1) == 0, -1, 0), pa.int32()),
-        "places": _lists(np.concatenate([codes, order]).astype(np.int32), np.concatenate([[0], ends + len(codes)])),
-        "counts": _lists(counts[order].astype(np.int64), none(ends)),
-    }
-    columns |= {name: _lists(values[order], none(ends)) for name, values in keys.items()}
+    parts = np.split(order, starts[1:]) if len(found) else []
+    columns = {"block": pa.array([block] * (len(found) + 1), pa.int64()), "bucket": pa.array([-1, *found], pa.int32())}
+    columns["places"] = pa.array([_bytes(codes.astype(np.int32)), *[_bytes(p.astype(np.int32)) for p in parts]], pa.binary())
+    columns["counts"] = pa.array([_bytes(sums), *[_bytes(counts[p].astype(np.int64)) for p in parts]], pa.binary())
+    for name, values in keys.items():
+        columns[name] = pa.array([_bytes(own.get(name, np.zeros(0, np.int64))), *[_bytes([values[i] for i in p] if isinstance(values, list) else values[p]) for p in parts]], pa.binary())
     return pa.RecordBatch.from_pydict(columns)
 
 
 def word_blocks(docs: DataFrame, buckets: int) -> DataFrame:
     """block, bucket, places, counts, words. Under bucket -1 places has an entry's number for each
-    position, and -1 between pieces; else the numbers of entries. words are language, tab, word."""
+    position, and -1 between pieces, and words and counts are those of whole languages; else they
+    are the numbers, words and counts of entries. A word is a language in JSON, a tab and the word."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[str, np.ndarray]] = []
@@ -101,8 +113,11 @@ def word_blocks(docs: DataFrame, buckets: int) -> DataFrame:
             for lang, codes in tables.items():
                 words = list(codes)[1:]
                 bucket[first[lang] : first[lang] + len(words)] = [crc32(w) % buckets for w in words]
-                keys += [f"{lang}\t{w.decode()}" for w in words]
-            return _packed(block, positions, bucket, np.bincount(positions[positions >= 0], minlength=n), {"words": np.array(keys, object)})
+                name = json.dumps(lang)
+                keys += [f"{name}\t{w.decode()}" for w in words]
+            counts = np.bincount(positions[positions >= 0], minlength=n)
+            sums = np.array([counts[first[lang] : first[lang] + len(codes) - 1].sum() for lang, codes in tables.items()], np.int64)
+            return _packed(block, positions, bucket, counts, {"words": keys}, sums, {"words": [json.dumps(lang) for lang in tables]})
 
         for batch in batches:
             langs, texts = batch.column(0), batch.column(1).cast(pa.binary())
@@ -126,72 +141,84 @@ def word_blocks(docs: DataFrame, buckets: int) -> DataFrame:
             yield passed_on()
 
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    return stored(rows.mapInArrow(cut, "block long, bucket int, places array<int>, counts array<long>, words array<string>"))
+    return stored(rows.mapInArrow(cut, "block long, bucket int, places binary, counts binary, words binary"))
 
 
-def _same_words(table: pa.Table) -> tuple[np.ndarray, dict[str, pa.Array]]:
+def _same_words(table: pa.Table) -> tuple[np.ndarray, dict]:
     """A number for each entry of a bucket, equal for equal ones, and the keys by number."""
-    coded = pa.concat_arrays([c.flatten() for c in table["words"].chunks]).dictionary_encode()
-    return coded.indices.to_numpy(), {"words": coded.dictionary}
+    coded = pa.array([w for b in table["words"].to_pylist() for w in b.decode().split("\n")], pa.string()).dictionary_encode()
+    return coded.indices.to_numpy(), {"words": coded.dictionary.to_pylist()}
 
 
-def _same_pairs(table: pa.Table) -> tuple[np.ndarray, dict[str, pa.Array]]:
-    left, right = (np.concatenate([c.flatten().to_numpy() for c in table[k].chunks]) for k in ("lefts", "rights"))
+def _same_pairs(table: pa.Table) -> tuple[np.ndarray, dict]:
+    left, right = (np.concatenate(_numbers(table[k], np.int64)) for k in ("lefts", "rights"))
     order = np.lexsort((right, left))
     new = np.ones(len(order), bool)
     new[1:] = (np.diff(left[order]) != 0) | (np.diff(right[order]) != 0)
     number = np.empty(len(order), np.int64)
     number[order] = np.cumsum(new) - 1
-    return number, {"lefts": pa.array(left[order][new]), "rights": pa.array(right[order][new])}
+    return number, {"lefts": left[order][new], "rights": right[order][new]}
 
 
-def named(blocks: DataFrame, same: Callable, keys: str) -> DataFrame:
+def named(blocks: DataFrame, same: Callable, *keys: str) -> DataFrame:
     """For each block (block, places, ids) the entries that are frequent overall and their ids; and
     under block -1 all ids of a bucket with their counts (in totals) and keys."""
 
     def name(table: pa.Table) -> pa.Table:
         number, by_number = same(table)
-        counts = np.concatenate([c.flatten().to_numpy() for c in table["counts"].chunks])
-        totals = np.zeros(len(next(iter(by_number.values()))), np.int64)
-        np.add.at(totals, number, counts)
+        totals = np.zeros(len(by_number[keys[0]]), np.int64)
+        np.add.at(totals, number, np.concatenate(_numbers(table["counts"], np.int64)))
         frequent = np.flatnonzero(totals >= MIN_COUNT)
         ids = np.full(len(totals), -1, np.int64)
         ids[frequent] = table["bucket"][0].as_py() * BUCKET_IDS + np.arange(len(frequent))
-        places = np.concatenate([c.flatten().to_numpy() for c in table["places"].chunks])
-        of = np.repeat(np.arange(table.num_rows), np.concatenate([c.value_lengths().to_numpy() for c in table["places"].chunks]))
-        kept = ids[number] >= 0
-        ends = np.concatenate([[0], np.cumsum(np.bincount(of[kept], minlength=table.num_rows))])
-        no_lists = np.zeros(table.num_rows + 2, np.int64)
-        no_lists[-1] = len(frequent)
-        columns = {
-            "block": pa.array([*table["block"].to_pylist(), -1], pa.int64()),
-            "places": _lists(places[kept], np.append(ends, ends[-1])),
-            "ids": _lists(np.concatenate([ids[number][kept], ids[frequent]]), np.append(ends, ends[-1] + len(frequent))),
-            "totals": _lists(totals[frequent], no_lists),
-        }
-        columns |= {k: _lists(v.take(pa.array(frequent)), no_lists) for k, v in by_number.items()}
-        return pa.table(columns)
-
-    rows = blocks.where("bucket >= 0").groupBy("bucket").applyInArrow(name, f"block long, places array<int>, ids array<long>, totals array<long>, {keys}")
-    return stored(rows.where((F.size("places") > 0) | (F.size("totals") > 0)))
+        columns, at = {k: [] for k in ("block", "places", "ids", "totals", *keys)}, 0
+        for block, places in zip(table["block"].to_pylist(), _numbers(table["places"], np.int32)):
+            own = ids[number[at : at + len(places)]]
+            at += len(places)
+            if (own >= 0).any():
+                columns["block"].append(block)
+                columns["places"].append(_bytes(places[own >= 0]))
+                columns["ids"].append(_bytes(own[own >= 0]))
+        if len(frequent):
+            columns["block"].append(-1)
+            columns["places"].append(None)
+            columns["ids"].append(_bytes(ids[frequent]))
+            for k, values in (("totals", totals), *by_number.items()):
+                values = [values[i] for i in frequent] if isinstance(values, list) else values[frequent]
+                columns[k] = [None] * (len(columns["block"]) - 1) + [_bytes(values)]
+        n = len(columns["block"])
+        return pa.table({k: pa.array(v or [None] * n, pa.int64() if k == "block" else pa.binary()) for k, v in columns.items()})
+
+    rows = blocks.where("bucket >= 0").groupBy("bucket").applyInArrow(name, f"block long, places binary, ids binary, totals binary, {', '.join(f'{k} binary' for k in keys)}")
+    return stored(rows)
 
 
 def firsts(names: DataFrame, *keys: str) -> DataFrame:
     """id, a and the keys: one row for each id."""
-    arrays = ["ids", "totals", *[f"{k}s" for k in keys]]
-    entry = names.where("block = -1").select(F.explode(F.arrays_zip(*arrays)).alias("e"))
-    return entry.select(F.col("e.ids").alias("id"), F.col("e.totals").alias("a"), *[F.col(f"e.{k}s").alias(k) for k in keys])
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                columns = []
+                for k in batch.schema.names:
+                    part = batch.column(k).slice(row, 1)
+                    columns.append(pa.array(_numbers(part, _KINDS[k])[0]) if k in _KINDS else pa.array(part[0].as_py().decode().split("\n"), pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, ["id", "a", *keys])
+
+    arrays = [f"{k}s" for k in keys]
+    kinds = ", ".join(f"{k} {'long' if f'{k}s' in _KINDS else 'string'}" for k in keys)
+    return names.where("block = -1").select("ids", "totals", *arrays).mapInArrow(flat, f"id long, a long, {kinds}")
 
 
 def pair_blocks(blocks: DataFrame, names: DataFrame, buckets: int) -> DataFrame:
     """The blocks with pairs of adjacent ids in place of entries: block, bucket, places, counts, lefts, rights."""
 
     def paired(held: pa.Table, named: pa.Table) -> pa.Table:
-        schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("places", pa.list_(pa.int32())), *[(k, pa.list_(pa.int64())) for k in ("counts", "lefts", "rights")]])
+        schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), *[(k, pa.binary()) for k in ("places", "counts", "lefts", "rights")]])
         if not held.num_rows or not named.num_rows:
             return schema.empty_table()
-        codes = held["places"].combine_chunks().flatten().to_numpy()
-        place, name = (named[k].combine_chunks().flatten().to_numpy() for k in ("places", "ids"))
+        codes = _numbers(held["places"], np.int32)[0]
+        place, name = (np.concatenate(_numbers(named[k], _KINDS[k])) for k in ("places", "ids"))
         rank = np.full(max(int(codes.max(initial=0)), int(place.max())) + 2, -1, np.int64)  # the last is for -1
         rank[place] = np.arange(len(place))
         at = rank[codes]
@@ -202,11 +229,11 @@ def pair_blocks(blocks: DataFrame, names: DataFrame, buckets: int) -> DataFrame:
         left, right = (name[k] for k in np.divmod(keys, len(place)))
         mixed = (left.astype(np.uint64) * _ODD ^ right.astype(np.uint64)) * _ODD
         bucket = ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-        return pa.Table.from_batches([_packed(held["block"][0].as_py(), out, bucket, counts, {"lefts": left, "rights": right})]).cast(schema)
+        return pa.Table.from_batches([_packed(held["block"][0].as_py(), out, bucket, counts, {"lefts": left, "rights": right})])
 
     own = blocks.where("bucket = -1").select("block", "places").groupBy("block")
     back = names.where("block >= 0").select("block", "places", "ids").groupBy("block")
-    return stored(own.cogroup(back).applyInArrow(paired, "block long, bucket int, places array<int>, counts array<long>, lefts array<long>, rights array<long>"))
+    return stored(own.cogroup(back).applyInArrow(paired, "block long, bucket int, places binary, counts binary, lefts binary, rights binary"))
 
 
 def _wide(count: Column, digits: int = 20) -> Column:
@@ -225,16 +252,17 @@ def phrases(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     the occurrences of the first word, the first two and so on, tails those of the last ones."""
     buckets = BUCKETS + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES
     blocks = word_blocks(docs, buckets)
-    lang, word = F.expr("substring_index(word, '\t', size(split(word, '\t')) - 1)"), F.substring_index("word", "\t", -1)
-    entry = blocks.where("bucket >= 0").select(F.explode(F.arrays_zip("words", "counts")).alias("e")).select(F.col("e.words").alias("word"), F.col("e.counts").alias("n"))
-    totals = materialise(entry.groupBy(lang.alias("lang")).agg(F.sum("n").alias("n")))
-    names = named(blocks, _same_words, "words array<string>")
+    lang = lambda key: F.from_json(F.concat(F.lit("["), F.substring_index(key, "\t", 1), F.lit("]")), "array<string>")[0]
+    word = F.substring_index("word", "\t", -1)
+    sums = firsts(blocks.where("bucket = -1").select(F.lit(-1).alias("block"), F.col("counts").alias("ids"), F.col("counts").alias("totals"), "words"), "word")
+    totals = materialise(sums.groupBy(lang("word").alias("lang")).agg(F.sum("a").alias("n")))
+    names = named(blocks, _same_words, "words")
     none = F.array().cast("array<long>")
-    known = materialise(firsts(names, "word").select("id", lang.alias("lang"), word.alias("phrase"), word.alias("last"), "a", none.alias("heads"), none.alias("tails")))
+    known = materialise(firsts(names, "word").select("id", lang("word").alias("lang"), word.alias("phrase"), word.alias("last"), "a", none.alias("heads"), none.alias("tails")))
     found = []
     for words in range(2, LONGEST + 1):
         blocks = pair_blocks(blocks, names, buckets)
-        names = named(blocks, _same_pairs, "lefts array<long>, rights array<long>")
+        names = named(blocks, _same_pairs, "lefts", "rights")
         own = materialise(firsts(names, "left", "right"))
         side = lambda key, *cols: small_or_not(known.select(F.col("id").alias(key), *cols))  # noqa: E731, B023
         one = join_split(own, side("left", "lang", "phrase", F.concat("heads", F.array("a")).alias("heads")), "left", "right", hubs(own, "left"))
