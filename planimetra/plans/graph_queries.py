@@ -170,12 +170,12 @@ def graph_is_cyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(found, "graph string, cyclic boolean")
 
 
-@query("select conv_id * 100 + turn as id, (row_number() over (partition by conv_id order by turn) - 1)::int as layer from conversations where conv_id in (select conv_id from conversations group by conv_id having count(*) > 1)")
+@query("select conv_id || '/' || turn as id, (row_number() over (partition by conv_id order by turn) - 1)::int as layer from conversations where conv_id in (select conv_id from conversations group by conv_id having count(*) > 1)")
 def graph_topological(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Graph(tb.turn_edges(spark, sf_dir)).topological()
 
 
-@query("select conv_id * 100 + turn as id, (row_number() over (partition by conv_id order by turn desc) - 1)::int as layer from conversations where conv_id in (select conv_id from conversations group by conv_id having count(*) > 1)")
+@query("select conv_id || '/' || turn as id, (row_number() over (partition by conv_id order by turn desc) - 1)::int as layer from conversations where conv_id in (select conv_id from conversations group by conv_id having count(*) > 1)")
 def graph_topological_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Graph(tb.turn_edges(spark, sf_dir)).topological(reverse=True)
 

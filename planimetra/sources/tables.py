@@ -74,8 +74,8 @@ PART_EDGES_SQL = """pe as (select src, dst from (select l_partkey as src,
 
 
 def turn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, dst: each turn of a conversation and the next (conv_id * 100 + turn)."""
-    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("src"), "conv_id", "turn")
+    """src, dst: each turn of a conversation and the next, named `conv_id/turn`."""
+    c = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("src"), "conv_id", "turn")
     w = Window.partitionBy("conv_id").orderBy("turn")
     return c.withColumn("dst", F.lead("src").over(w)).where("dst is not null").select("src", "dst", F.lit(1.0).alias("weight"))
 
