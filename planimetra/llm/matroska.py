@@ -298,7 +298,7 @@ def media_column(docs: DataFrame, carry: str = "doc_id") -> DataFrame:
 
 def packets(media: DataFrame, carry: str = "doc_id") -> DataFrame:
     """A row for each packet of the column media: carry, packet, track, codec, timestamp_ns,
-    start, length, key_frame, lacing, cued, crc32."""
+    start, length, key_frame, lacing, cued, crc32. A number beyond 64 bits is null."""
     kind = media.schema[carry].dataType.simpleString()
     names = ["packet", *Packet._fields, "crc32"]
     types = [pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 3, pa.bool_(), pa.int64(), pa.bool_(), pa.int64()]
@@ -308,6 +308,8 @@ def packets(media: DataFrame, carry: str = "doc_id") -> DataFrame:
             for k in range(batch.num_rows):
                 file = batch.column(1)[k].as_py()
                 rows = [(i, *p, zlib.crc32(memoryview(file)[p.start : p.start + p.length])) for i, p in enumerate(parse(file))]
+                # a foreign file may name times and tracks that no long holds; such a number is null
+                rows = [tuple(None if type(x) is int and abs(x) >> 63 else x for x in r) for r in rows]
                 cols = list(zip(*rows, strict=True)) or [[]] * len(names)
                 ids = batch.column(0).take(pa.array([k] * len(rows), pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], [carry, *names])

@@ -192,6 +192,17 @@ def blocks(*bodies: bytes, extra: bytes = b"") -> list:
     return matroska.parse(matroska._element(matroska.SEGMENT, extra + cluster))
 
 
+def test_times_beyond_a_long(spark):
+    """A valid file may have such a time; its packet keeps its bytes, and other rows theirs."""
+    info = matroska._element(matroska.INFO, matroska._number(matroska.TIMESTAMP_SCALE, 2**40))
+    block = matroska._element(matroska.SIMPLE_BLOCK, b"\x81\x00\x00\x80abc")
+    cluster = matroska._element(matroska.CLUSTER, matroska._number(matroska.CLUSTER_TIMESTAMP, 2**60) + block)
+    rows = [(1, matroska._element(matroska.SEGMENT, info + cluster)), (2, matroska.encode(b"x" * 192)), (3, b"other")]
+    found = matroska.packets(spark.createDataFrame(rows, "doc_id long, media binary")).collect()
+    assert [(r.timestamp_ns, r.length) for r in found if r.doc_id == 1] == [(None, 3)]
+    assert {r.doc_id for r in found} == {1, 2} and all(r.timestamp_ns is not None for r in found if r.doc_id == 2)
+
+
 def test_unknown_sizes():
     file = matroska.encode(bytes(range(250)) * 2000)
     packets, start = matroska.parse(file), 0
