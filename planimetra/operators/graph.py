@@ -166,11 +166,89 @@ class Graph:
     def bellman_ford_pair(self, start, end) -> DataFrame:
         return self.bellman_ford(start).where(F.col("id") == F.lit(end))
 
-    def a_star(self, start, goal, heuristic: Column | None = None) -> DataFrame:
-        """dist and path to goal, no row if it can't be reached; heuristic is a lower bound over id."""
+    def landmark_bounds(self, goal, count: int = 4) -> DataFrame:
+        """id, bound: a lower estimate of each vertex's distance to goal, for a_star.
+
+        `count` landmarks are chosen one by one, each the farthest from those before (at first from
+        the goal). By the triangle inequality a distance is at least what the ways to a landmark,
+        or from it, differ by.
+        """
+        self._check_weights()
+        back = Graph(self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), self.vertices)
+        all_ways = lambda graph, v: cut(graph._relax(graph._from(v), graph.edges).select("id", "dist"))
+        reach, out, lower = all_ways(back, goal).withColumnRenamed("dist", "far"), self.vertices, [F.lit(0.0)]
+        for k in range(count):
+            mark = reach.orderBy(F.desc("far"), "id").first()
+            if mark is None or mark.far == 0:
+                break
+            to = all_ways(back, mark.id)
+            for name, ways in (("to", to), ("fro", all_ways(self, mark.id))) if self.directed else (("to", to),):
+                end = F.lit(ways.where(F.col("id") == F.lit(goal)).agg(F.max("dist")).first()[0]).cast("double")
+                out = out.join(ways.withColumnRenamed("dist", f"{name}{k}"), "id", "left")
+                lower.append(F.col(f"to{k}") - end if name == "to" else end - F.col(f"fro{k}"))
+                if not self.directed:
+                    lower.append(end - F.col(f"to{k}"))
+            reach = cut(reach.join(to, "id").select("id", F.least("far", "dist").alias("far")))
+        # rounding may make a bound exceed the distance by its last digits
+        return cut(out.select("id", (F.array_max(F.array(*lower)) * (1 - 1e-9)).alias("bound")))
+
+    def a_star(self, start, goal, heuristic: Column | DataFrame | None = None) -> DataFrame:
+        """id, dist and path to goal, no row if it can't be reached. heuristic is a lower bound of
+        the rest of the way: a column over id, or a table (id, bound) as of landmark_bounds."""
         self._check_weights()
+        if isinstance(heuristic, DataFrame):
+            return self._best_first(start, goal, heuristic).where(F.col("id") == F.lit(goal)).drop("estimate")
         return self._relax(self._from(start), self.edges, target=goal, bound=heuristic).drop("source").where(F.col("id") == F.lit(goal))
 
+    def _best_first(self, start, goal, bounds: DataFrame) -> DataFrame:
+        """id, dist, path, estimate (of the whole way through it) of the vertices touched.
+
+        A round goes on from those whose estimates are within an average edge of the least one;
+        the others wait. It ends when none that waits can beat the goal's distance. The ways kept
+        are those to their last edge only, and one way is put together in the end.
+        """
+        edges = cut(self.edges.groupBy("src", "dst").agg(F.min(F.col("weight").cast("double")).alias("weight")))
+        step_width = edges.agg(F.avg("weight")).first()[0] or 0.0
+        bounds = bounds.select("id", F.coalesce("bound", F.lit(0.0)).alias("bound"))
+        kind = self.vertices.schema["id"].dataType.simpleString()
+        best = cut(self._from(start).join(bounds, "id").select("id", "dist", F.lit(None).cast(kind).alias("before"), F.col("bound").alias("estimate"), F.lit(True).alias("waits")))
+        while True:
+            low, reached = best.agg(F.min(F.when(F.col("waits"), F.col("estimate"))), F.min(F.when(F.col("id") == F.lit(goal), F.col("dist")))).first()
+            if low is None or reached is not None and low >= reached:
+                break
+            now = F.col("waits") & (F.col("estimate") <= low + step_width)
+            step = best.where(now).select(F.col("id").alias("src"), "dist").join(edges, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.struct((F.col("dist") + F.col("weight")).alias("dist"), F.col("src").alias("before"))).alias("new"))
+            step = step.join(bounds, "id")
+            merged = best.withColumn("waits", F.col("waits") & ~now).join(step, "id", "full")
+            better = F.col("new").isNotNull() & (F.col("dist").isNull() | (F.col("new.dist") < F.col("dist")))
+            pick = lambda new, old: F.when(better, new).otherwise(F.col(old)).alias(old)  # noqa: E731, B023
+            best = cut(merged.select("id", pick(F.col("new.dist"), "dist"), pick(F.col("new.before"), "before"), pick(F.col("new.dist") + F.col("bound"), "estimate"), pick(F.lit(True), "waits")))
+        return self._way_back(best, edges, goal)
+
+    def _way_back(self, best: DataFrame, edges: DataFrame, goal) -> DataFrame:
+        """best with path, which only the goal has: the edges from the start, by the vertices before."""
+        rows = {r.id: r.before for r in self._ancestors(best, goal).collect()}
+        way, at = [], goal
+        while rows.get(at) is not None:
+            way.append((rows[at], at))
+            at = rows[at]
+        kind = self.vertices.schema["id"].dataType.simpleString()
+        steps = self.spark.createDataFrame([(k, u, v) for k, (u, v) in enumerate(reversed(way))], f"at int, src {kind}, dst {kind}").join(edges, ["src", "dst"])
+        path = steps.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "src", "dst", "weight"))), lambda e: F.struct(e["src"].alias("src"), e["dst"].alias("dst"), e["weight"].alias("weight"))).alias("path"))
+        return best.join(F.broadcast(path)).select("id", "dist", F.when(F.col("id") == F.lit(goal), F.col("path")).alias("path"), "estimate")
+
+    @staticmethod
+    def _ancestors(best: DataFrame, goal) -> DataFrame:
+        """id, before of the goal and all before it, by pointer doubling: rounds grow with the
+        logarithm of the way."""
+        jump, on = cut(best.select("id", F.col("before").alias("far"))), best.where(F.col("id") == F.lit(goal)).select("id")
+        while True:
+            more = cut(on.union(on.join(jump, "id").where("far is not null").select(F.col("far").alias("id"))).distinct())
+            jump = cut(jump.join(jump.select(F.col("id").alias("far"), F.col("far").alias("next")), "far", "left").select("id", F.col("next").alias("far")))
+            on = more
+            if jump.join(on, "id").where("far is not null").isEmpty():
+                return best.join(on, "id", "left_semi").select("id", "before")
+
     def floyd_warshall(self) -> DataFrame:
         """src, dst, dist for all pairs, by squaring the table of distances; 0 on the diagonal."""
         zero = self.vertices.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("dist"))

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,3 +117,68 @@ def snapped(df: DataFrame, tolerance: float, order: str, x: str = "x", y: str =
     earlier = F.filter("near", lambda q: (apart(q) <= reach) & (q <= own))
     best = F.array_min(F.transform(earlier, lambda q: F.struct(apart(q).alias("d2"), q["x"].alias("x"), q["y"].alias("y"))))
     return joined(dealt(rows), kept).select(best.alias("b")).groupBy("b.x", "b.y").agg(F.count("*").alias("n"))
+
+
+#: Points of one group that a task holds before it drops those inside their hull.
+HELD = 50_000
+
+
+def _hull(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The corners of the convex hull, counter-clockwise from the least point; none along a side."""
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    new = np.ones(len(x), bool)
+    new[1:] = np.diff(x) != 0
+    end = np.flatnonzero(np.append(new[1:], True))  # of the points above each other only the lowest and highest matter
+    keep = np.unique(np.concatenate([np.flatnonzero(new), end]))
+    points = list(dict.fromkeys(zip(x[keep].tolist(), y[keep].tolist())))
+    if len(points) < 3:
+        chain = points
+    else:
+        chain = []
+        for way in (points, points[::-1]):
+            half: list[tuple[float, float]] = []
+            for q in way:
+                while len(half) > 1 and (half[-1][0] - half[-2][0]) * (q[1] - half[-2][1]) <= (half[-1][1] - half[-2][1]) * (q[0] - half[-2][0]):
+                    half.pop()
+                half.append(q)
+            chain += half[:-1]
+    return np.array([a for a, _ in chain], float), np.array([b for _, b in chain], float)
+
+
+def hulls(df: DataFrame, group: str, x: str = "x", y: str = "y") -> DataFrame:
+    """group, hull (its corners, counter-clockwise from the least point): one row for each group.
+
+    Each task keeps the hulls of what it has read of each group, and a group's partial hulls meet
+    in the end, so that only corners move. One or two distinct points, or points on a line, leave
+    the line's ends. Points with null or non-finite coordinates are left out; null is a group.
+    """
+    kind = df.schema[group].dataType.simpleString()
+    finite = (F.abs(F.col(x)) < float("inf")) & (F.abs(F.col(y)) < float("inf"))
+    rows = df.where(finite).select(F.col(group).alias("group"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = defaultdict(lambda: (np.zeros(0), np.zeros(0)))
+        schema = None
+        for batch in batches:
+            schema = batch.schema
+            coded = batch.column(0).dictionary_encode()
+            numbers = coded.indices.fill_null(len(coded.dictionary)).to_numpy()
+            names = [*coded.dictionary.to_pylist(), None]
+            xs, ys = (batch.column(k).to_numpy() for k in (1, 2))
+            for n in np.unique(numbers):
+                own = numbers == n
+                px, py = held[names[n]]
+                px, py = np.concatenate([px, xs[own]]), np.concatenate([py, ys[own]])
+                held[names[n]] = _hull(px, py) if len(px) > HELD else (px, py)
+        for name, points in held.items():
+            px, py = _hull(*points)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(px), schema.field(0).type), pa.array(px), pa.array(py)], ["group", "x", "y"])
+
+    def whole(table: pa.Table) -> pa.Table:
+        px, py = _hull(table["x"].to_numpy(), table["y"].to_numpy())
+        point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+        return pa.table({"group": table["group"][:1], "hull": pa.array([[{"x": a, "y": b} for a, b in zip(px.tolist(), py.tolist())]], pa.list_(point))})
+
+    parts = rows.mapInArrow(partial, f"group {kind}, x double, y double")
+    return parts.groupBy("group").applyInArrow(whole, f"group {kind}, hull array<struct<x: double, y: double>>").withColumnRenamed("group", group)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .ordered import placed
 
 
 class Tree:
@@ -149,6 +150,22 @@ class Tree:
         """node, depth, places: in the order of (depth, places)."""
         return self.paths.select("node", "depth", "places")
 
+    def ranks(self) -> DataFrame:
+        """node, preorder, postorder, level_order: its places in the three traversals, from 0; the
+        roots of a forest come in their order.
+
+        A node comes after its ancestors and all that is below earlier siblings of theirs and its
+        own. Levels are ranked by preorder, over ranges of it sorted side by side.
+        """
+        sizes = self.counts().select("node", (F.col("descendant_count") + 1).alias("size"))
+        before = Window.partitionBy("parent").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+        nodes = cut(self.nodes.join(sizes, "node").withColumn("earlier", F.coalesce(F.sum("size").over(before), F.lit(0))).select("node", "size", "earlier"))
+        way = self.paths.select(F.col("node").alias("low"), "depth", F.explode("path").alias("node"))
+        pre = way.join(nodes.select("node", "earlier"), "node").groupBy(F.col("low").alias("node"), "depth").agg(F.sum("earlier").alias("earlier"))
+        pre = pre.withColumn("preorder", F.col("earlier") + F.col("depth")).drop("earlier")
+        levels = placed(pre, "depth", "preorder").withColumn("level_order", F.col("place") - 1)
+        return levels.join(nodes, "node").select("node", "preorder", (F.col("preorder") + F.col("size") - 1 - F.col("depth")).alias("postorder"), "level_order")
+
     def find(self, test: Column, limit: int | None = None) -> DataFrame:
         rows = self.paths.where(test).orderBy("depth", "places")
         return (rows if limit is None else rows.limit(limit)).select("node", "depth")

@@ -224,6 +224,20 @@ def graph_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Graph(rows).max_matching()
 
 
+_PART_STEPS = f"""with recursive {tb.PART_EDGES_SQL}, e as (select src, dst from pe union select dst, src from pe), ends as (select min(src) as a, max(src) as b from e),
+    r(id, d) as (select a, 0 from ends union select e.dst, d + 1 from r join e on e.src = r.id where d < 12)
+    select a as start, b as goal, min(d)::double as dist from ends join r on r.id = b group by all"""
+
+
+@query(_PART_STEPS)
+def graph_a_star_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distance of the first and the last part in the graph of all parts, with landmarks for the estimate."""
+    graph = _parts(spark, sf_dir)
+    first, last = graph.given.agg(F.least(F.min("src"), F.min("dst")), F.greatest(F.max("src"), F.max("dst"))).first()
+    found = graph.a_star(first, last, graph.landmark_bounds(last, 2))
+    return found.select(F.lit(first).alias("start"), F.lit(last).alias("goal"), "dist")
+
+
 # hierarchies
 
 _REC = f"""with recursive {tb.TREE_SQL}, rel(node, parent, depth, path, key) as (select node, parent, 0, [node], []::bigint[] from t where parent is null
@@ -324,6 +338,11 @@ def tree_level_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tree(spark, sf_dir).level_order().select("node", "depth", _joined("places"))
 
 
+@query(f"{_PLACED} select node, row_number() over (order by places) - 1 as preorder, row_number() over (order by list_append(places, 2147483647)) - 1 as postorder, row_number() over (order by depth, places) - 1 as level_order from rel")
+def tree_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tree(spark, sf_dir).ranks()
+
+
 @query(f"{_REC} select node, depth from rel where node like '%7' order by depth, key limit 12")
 def tree_find(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tree(spark, sf_dir).find(F.col("node").endswith("7"), 12)

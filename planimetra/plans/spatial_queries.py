@@ -206,3 +206,17 @@ def ordered_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = tb.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
     key = ordered.is_ordered(o, "o_orderkey", "o_orderkey", "o_custkey").withColumn("by_what", F.lit("key"))
     return key.union(ordered.is_ordered(o, "o_orderkey", "o_totalprice", "o_custkey").withColumn("by_what", F.lit("price"))).select("by_what", "valid")
+
+
+# of the points above each other only the lowest and the highest can be corners, and they are where no two others have them below
+_HULLS = """with g as (select l_returnflag || l_linestatus as kind, l_quantity as x, min(l_extendedprice) as low, max(l_extendedprice) as high from lineitem group by all),
+    under as (select distinct m.kind, m.x, m.high as y from g m join g a on a.kind = m.kind and a.x < m.x join g b on b.kind = m.kind and b.x > m.x where (m.high - a.high) * (b.x - a.x) <= (b.high - a.high) * (m.x - a.x)),
+    over as (select distinct m.kind, m.x, m.low as y from g m join g a on a.kind = m.kind and a.x < m.x join g b on b.kind = m.kind and b.x > m.x where (m.low - a.low) * (b.x - a.x) >= (b.low - a.low) * (m.x - a.x))
+    select kind, x, y from (select kind, x, high as y from g except select * from under union select * from (select kind, x, low as y from g except select * from over))"""
+
+
+@query(_HULLS)
+def point_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corners of the convex hulls of all lines' quantities and prices, by their flags."""
+    rows = tb.table(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("kind"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
+    return pts.hulls(rows, "kind").select("kind", F.inline("hull"))
