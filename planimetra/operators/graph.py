@@ -440,9 +440,77 @@ class Graph:
 
     @staticmethod
     def max_flow_of(capacities: DataFrame, source, sink) -> int:
-        """The greatest flow through a table of capacities (src, dst, capacity): the entry of the
-        push-relabel method, whose value is the same."""
-        return Graph(capacities.select("src", "dst", F.col("capacity").alias("weight"))).max_flow(source, sink)
+        """The greatest flow through a table of capacities (src, dst, capacity), by push-relabel."""
+        flows, _ = Graph(capacities.select("src", "dst", F.col("capacity").alias("weight"))).push_relabel(source, sink)
+        leaves, returns = (F.coalesce(F.sum(F.when(F.col(end) == F.lit(source), F.col("flow"))), F.lit(0)) for end in ("src", "dst"))
+        return flows.agg(leaves - returns).first()[0]
+
+    def push_relabel(self, source, sink, capacity: str = "weight") -> tuple[DataFrame, DataFrame]:
+        """A greatest flow as src, dst, flow (whole numbers above 0), and the least cut as the ids on
+        the source's side. Parallel edges add up; loops carry nothing.
+
+        All vertices with an excess push at once to neighbours one level nearer to the sink, each
+        along its edges in turn as far as the excess goes. When none can, levels are measured anew:
+        the steps to the sink through edges with room, or beyond all those the steps back to the
+        source, so that what doesn't get through returns. Levels never fall, so this ends.
+        """
+        if source == sink:
+            raise ValueError("source and sink are the same")
+        given = self.edges.where("src <> dst").groupBy("src", "dst").agg(F.sum(F.col(capacity).cast("long")).alias("cap")).where("cap > 0")
+        both = given.union(given.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0).cast("long").alias("cap"))).groupBy("src", "dst").agg(F.sum("cap").alias("cap"))
+        first = F.col("src") == F.lit(source)
+        back = given.where(first).select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("cap").alias("sent"))
+        arcs = cut(both.join(back, ["src", "dst"], "left").select("src", "dst", "cap", (F.when(first, 0).otherwise(F.col("cap")) + F.coalesce("sent", F.lit(0))).alias("room")))
+        excess = cut(back.select(F.col("src").alias("id"), F.col("sent").alias("excess")))
+        inner = ~F.col("id").isin(source, sink)
+        levels = None
+        while not (active := cut(excess.where(inner & (F.col("excess") > 0)))).isEmpty():
+            pushes = None if levels is None else self._pushes(arcs, active, levels)
+            if pushes is None or pushes.isEmpty():
+                levels = self._levels(arcs, source, sink)
+                continue
+            undone = pushes.select(F.col("dst").alias("src"), F.col("src").alias("dst"), (-F.col("sent")).alias("sent"))
+            net = pushes.union(undone).groupBy("src", "dst").agg(F.sum("sent").alias("sent"))
+            arcs = cut(arcs.join(net, ["src", "dst"], "left").select("src", "dst", "cap", (F.col("room") - F.coalesce("sent", F.lit(0))).alias("room")))
+            moved = pushes.select(F.col("src").alias("id"), (-F.col("sent")).alias("excess")).union(pushes.select("dst", "sent"))
+            excess = cut(excess.union(moved).groupBy("id").agg(F.sum("excess").alias("excess")))
+        flows = arcs.where("cap > room").select("src", "dst", (F.col("cap") - F.col("room")).alias("flow"))
+        through = self._steps(arcs, sink)
+        return flows, self.vertices.join(through, "id", "left_anti").select("id")
+
+    @staticmethod
+    def _pushes(arcs: DataFrame, active: DataFrame, levels: DataFrame) -> DataFrame:
+        """src, dst, sent: what the active vertices (id, excess) send down one level."""
+        own = active.join(levels, "id").select(F.col("id").alias("src"), "excess", F.col("level").alias("high"))
+        open_arcs = arcs.where("room > 0").join(own, "src").join(levels.select(F.col("id").alias("dst"), "level"), "dst").where("high = level + 1")
+        before = Window.partitionBy("src").orderBy("dst").rowsBetween(Window.unboundedPreceding, -1)
+        left = F.col("excess") - F.coalesce(F.sum("room").over(before), F.lit(0))
+        return cut(open_arcs.withColumn("sent", F.least("room", left)).where("sent > 0").select("src", "dst", "sent"))
+
+    @staticmethod
+    def _steps(arcs: DataFrame, end, without=None) -> DataFrame:
+        """id, level: how many edges with room lead from each vertex to `end`."""
+        ways = cut(arcs.where("room > 0").select(F.col("src").alias("id"), F.col("dst").alias("to")))
+        seen = front = arcs.sparkSession.createDataFrame([(end, 0)], f"id {arcs.schema['src'].dataType.simpleString()}, level int")
+        level = 0
+        while True:
+            level += 1
+            step = ways.join(front.select(F.col("id").alias("to")), "to").select("id").distinct().join(seen, "id", "left_anti")
+            if without is not None:
+                step = step.join(without, "id", "left_anti")
+            front = cut(step.select("id", F.lit(level).alias("level")))
+            if front.isEmpty():
+                return seen
+            seen = cut(seen.unionByName(front))
+
+    def _levels(self, arcs: DataFrame, source, sink) -> DataFrame:
+        """id, level: the source is as high as there are vertices, what leads to the sink only
+        through it is higher."""
+        high = self.vertices.count()
+        start = self.spark.createDataFrame([(source,)], f"id {arcs.schema['src'].dataType.simpleString()}")
+        down = self._steps(arcs, sink, start)
+        up = self._steps(arcs, source, down).withColumn("level", F.col("level") + high)
+        return cut(down.unionByName(up))
 
     def _augmenting(self, residual: DataFrame, source, sink) -> DataFrame | None:
         kind = self.vertices.schema["id"].dataType.simpleString()

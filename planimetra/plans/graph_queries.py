@@ -214,10 +214,33 @@ _CUTS = f"""with {tb.NATION_EDGES_SQL}, v as (select n_nationkey as k, row_numbe
 
 @query(_CUTS)
 def graph_max_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flow = Graph(tb.nation_edges(spark, sf_dir).where("src < 25")).max_flow(0, 20)
+    flow = Graph(tb.nation_edges(spark, sf_dir)).max_flow(0, 20)
     return spark.createDataFrame([(flow,)], "flow long")
 
 
+def _weighed(graph: Graph, source, sink) -> DataFrame:
+    """flow, cut (the capacity of the least cut) and unbalanced (inner vertices that don't pass on what they get)."""
+    flows, side = graph.push_relabel(source, sink)
+    ends = flows.select(F.col("src").alias("id"), (-F.col("flow")).alias("net")).union(flows.select("dst", "flow")).groupBy("id").agg(F.sum("net").alias("net"))
+    sums = ends.agg(F.coalesce(F.sum(F.when(F.col("id") == F.lit(sink), F.col("net"))), F.lit(0)).alias("flow"), F.count(F.when(~F.col("id").isin(source, sink) & (F.col("net") != 0), 1)).alias("unbalanced"))
+    out = graph.edges.join(side.select(F.col("id").alias("src")), "src", "left_semi").join(side.select(F.col("id").alias("dst")), "dst", "left_anti")
+    return sums.join(out.agg(F.coalesce(F.sum(F.col("weight").cast("long")), F.lit(0)).alias("cut")).hint("broadcast")).select("flow", "cut", "unbalanced")
+
+
+@query(_CUTS.replace("select min(cost)::bigint as flow from cost", "select min(cost)::bigint as flow, min(cost)::bigint as cut, 0::bigint as unbalanced from cost"))
+def graph_push_relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _weighed(Graph(tb.nation_edges(spark, sf_dir)), 0, 20)
+
+
+@query()
+def graph_supply_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines half of each supplier's parts can fill, two a part: over all pairs of supplier and part."""
+    pairs = tb.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dst")).distinct()
+    supply = pairs.groupBy(F.col("src").alias("dst")).agg(F.floor(F.count("*") / 2).alias("weight")).select(F.lit("from").alias("src"), "dst", "weight")
+    demand = pairs.select(F.col("dst").alias("src")).distinct().select("src", F.lit("to").alias("dst"), F.lit(2).cast("long").alias("weight"))
+    return _weighed(Graph(pairs.withColumn("weight", F.lit(1).cast("long")).unionByName(supply).unionByName(demand)), "from", "to")
+
+
 @query()
 def graph_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tb.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()

@@ -120,3 +120,71 @@ def test_landmarks_of_directed_graphs(spark):
     assert [(r.dist, len(r.path)) for r in graph.a_star(1, 3, table).collect()] == [(2.0, 2)]
     assert graph.a_star(1, 9, graph.landmark_bounds(9, 1)).isEmpty()
     assert [(r.dist, r.path) for r in graph.a_star(3, 3, table).collect()] == [(0.0, [])]
+
+
+def least_cut(edges, source, sink) -> int:
+    """Over all sets of vertices."""
+    inner = sorted({x for u, v, _ in edges for x in (u, v)} - {source, sink})
+    sides = ({source} | {x for k, x in enumerate(inner) if m >> k & 1} for m in range(1 << len(inner)))
+    return min(sum(c for u, v, c in edges if u in side and v not in side) for side in sides)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_flows_on_edges(spark, seed):
+    rng = random.Random(seed)
+    edges = [(u, v, rng.randrange(0, 9)) for u in range(8) for v in range(8) if u != v and rng.random() < 0.4]
+    edges += [(0, 3, 4), (0, 3, 2), (5, 7, 5), (2, 2, 9), (6, 1, 3), (1, 6, 2)]
+    graph = Graph(spark.createDataFrame(edges, "src int, dst int, weight int"))
+    flows, side = graph.push_relabel(0, 7)
+    flow = {(r.src, r.dst): r.flow for r in flows.collect()}
+    room, at = defaultdict(int), defaultdict(int)
+    for u, v, c in edges:
+        room[u, v] += c
+    for (u, v), f in flow.items():
+        assert 0 < f <= room[u, v]
+        at[u] -= f
+        at[v] += f
+    want = least_cut(edges, 0, 7)
+    assert want > 0 and at[7] == want == -at[0] and all(at[v] == 0 for v in range(1, 7))
+    low = {r.id for r in side.collect()}
+    assert 0 in low and 7 not in low and sum(c for u, v, c in edges if u in low and v not in low) == want
+
+
+def test_flows_that_cannot_pass(spark):
+    table = spark.createDataFrame([("s", "a", 5), ("a", "b", 3), ("x", "t", 2)], "src string, dst string, capacity int")
+    assert Graph.max_flow_of(table, "s", "t") == 0
+    assert Graph.max_flow_of(table.union(spark.createDataFrame([("b", "x", 9)], table.schema)), "s", "t") == 2
+    with pytest.raises(ValueError):
+        Graph.max_flow_of(table, "s", "s")
+
+
+def test_supply_flow(spark):
+    """Against matching lines one by one to suppliers with something left."""
+    from planimetra.plans import QUERIES
+
+    sf_dir = "/root/testdata/sf0.001"
+    found = QUERIES["graph_supply_flow"](spark, sf_dir).collect()
+    makers, left = defaultdict(list), defaultdict(int)
+    for r in spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_partkey").distinct().collect():
+        makers[r.l_partkey].append(r.l_suppkey)
+        left[r.l_suppkey] += 1
+    room = {s: n // 2 for s, n in left.items()}
+    served = {s: set() for s in room}  # the lines (part, 0 or 1) that each supplier fills
+
+    def fill(line, tried) -> bool:
+        for s in makers[line[0]]:
+            if s in tried or (line[0], 1 - line[1]) in served[s]:
+                continue
+            tried.add(s)
+            if len(served[s]) < room[s]:
+                served[s].add(line)
+                return True
+            for other in list(served[s]):
+                if fill(other, tried):
+                    served[s].remove(other)
+                    served[s].add(line)
+                    return True
+        return False
+
+    want = sum(fill((p, k), set()) for p in makers for k in (0, 1))
+    assert [(r.flow, r.cut, r.unbalanced) for r in found] == [(want, want, 0)]
