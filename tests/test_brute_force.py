@@ -354,7 +354,7 @@ def test_spatial_layout_is_readable(spark, tmp_path):
 #: Queries without SQL, and the test that holds each against plain Python.
 TESTED = {
     "polygon_hull_clip": "here", "bezier_lengths": "here", "sector_overlaps": "here", "snapped_points": "here",
-    "graph_matching": "test_whole_jobs", "graph_dfs": "test_whole_jobs",
+    "graph_matching": "test_whole_jobs", "graph_dfs": "test_whole_jobs", "graph_supply_flow": "test_rounds",
     "tree_preorder_all": "test_whole_jobs", "tree_postorder_all": "test_whole_jobs", "tree_level_order_all": "test_whole_jobs",
 }
 
