@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, stored
 
 #: A round of depth-first search loads all open edges if they are at most WALK_EDGES; else
 #: those of at most WALK vertices and WALK open calls, at most FAN of one vertex at a time.
@@ -120,51 +120,157 @@ class Graph:
         if not self.edges.where("weight < 0").isEmpty():
             raise ValueError("Negative cost edges are not allowed.")
 
-    def _relax(self, start: DataFrame, edges: DataFrame, rounds: int | None = None, target=None, bound: Column | None = None) -> DataFrame:
-        """source, id, dist, path for start(source, id, dist). After `rounds` rounds an
-        improvement means a negative cycle. With a target, what can't beat its distance stops;
-        `bound` is added to a distance as a lower estimate of the rest."""
-        none = F.array().cast("array<struct<src:{0},dst:{0},weight:double>>".format(self.vertices.schema["id"].dataType.simpleString()))
-        best = cut(start.select("source", "id", F.col("dist").cast("double").alias("dist"), none.alias("path")))
-        frontier, done = best, 0
-        lightest = cut(edges.groupBy("src", "dst").agg(F.min(F.col("weight").cast("double")).alias("weight")))
+    def _lightest(self, edges: DataFrame | None = None) -> DataFrame:
+        """src, dst, weight, hops, last of the lightest edge of each pair; one without a weight isn't used."""
+        edges = self.edges if edges is None else edges
+        light = edges.where("weight is not null").groupBy("src", "dst").agg(F.min(F.col("weight").cast("double")).alias("weight"))
+        return stored(light.select("src", "dst", "weight", F.lit(1).alias("hops"), F.col("src").alias("last")))
+
+    def _search(self, start: DataFrame, edges: DataFrame, width: float | None = None, goal=None, bounds: DataFrame | None = None, rounds: int | None = None) -> DataFrame:
+        """source, id, dist, hops, before of what start(source, id, dist) reaches over edges as of
+        _lightest; of equal distances that with the fewest edges, then the least vertex before.
+
+        A row knows the vertex before it, not its path. A round goes on from the vertices that
+        changed and whose estimates are within `width` of the least (from all that changed, without
+        one); the others wait, so that few are taken up twice. With a goal it ends once none that
+        waits can beat it. An estimate is the distance and the bound (id, bound) of the rest. An
+        improvement after `rounds` rounds means a negative cycle.
+        """
+        kind = self.vertices.schema["id"].dataType.simpleString()
+        rest = lambda rows: rows.withColumn("bound", F.lit(0.0)) if bounds is None else rows.join(bounds.select("id", "bound"), "id", "left").fillna(0.0, ["bound"])
+        first = start.select("source", "id", F.col("dist").cast("double").alias("dist"), F.lit(0).alias("hops"), F.lit(None).cast(kind).alias("before"))
+        best = stored(rest(first).select("*", F.lit(True).alias("waits")))
+        estimate, done = F.col("dist") + F.col("bound"), 0
         while True:
-            step = frontier.withColumnRenamed("id", "src").join(lightest, "src")
-            step = step.select("source", F.col("dst").alias("id"), (F.col("dist") + F.col("weight")).alias("dist"), F.concat("path", F.array(F.struct("src", "dst", "weight"))).alias("path"))
-            step = step.groupBy("source", "id").agg(F.min(F.struct("dist", "path")).alias("new"))
-            old = best.select("source", "id", F.col("dist").alias("old"))
-            frontier = step.join(old, ["source", "id"], "left").where("old is null or new.dist < old").select("source", "id", "new.dist", "new.path")
-            if target is not None:
-                goal = best.where(F.col("id") == F.lit(target)).agg(F.min("dist")).first()[0]
-                if goal is not None:
-                    frontier = frontier.where(F.col("dist") + (bound if bound is not None else F.lit(0.0)) < goal)
-            frontier = cut(frontier)
-            if frontier.isEmpty():
-                return best
-            done += 1
+            low, reached = best.agg(F.min(F.when(F.col("waits"), estimate)), F.min(F.when(F.col("id") == F.lit(goal), F.col("dist")))).first()
+            if low is None or reached is not None and low >= reached:
+                return best.select("source", "id", "dist", "hops", "before")
             if rounds is not None and done >= rounds:
                 raise ValueError("Graph contains a negative weight cycle.")
-            best = cut(best.join(frontier.select("source", "id"), ["source", "id"], "left_anti").unionByName(frontier))
+            done += 1
+            now = F.col("waits") if width is None else F.col("waits") & (estimate <= low + width)
+            on = best.where(now).select("source", F.col("id").alias("src"), F.col("dist").alias("so_far"), F.col("hops").alias("steps")).join(edges, "src")
+            way = F.struct((F.col("so_far") + F.col("weight")).alias("dist"), (F.col("steps") + F.col("hops")).alias("hops"), F.col("last").alias("before"))
+            step = rest(on.groupBy("source", F.col("dst").alias("id")).agg(F.min(way).alias("new"))).withColumnRenamed("bound", "ahead")
+            merged = best.withColumn("waits", F.col("waits") & ~now).join(step, ["source", "id"], "full")
+            better = F.col("new").isNotNull() & (F.col("dist").isNull() | (F.col("new") < F.struct("dist", "hops", "before")))
+            nearer = better & (F.col("dist").isNull() | (F.struct("new.dist", "new.hops") < F.struct("dist", "hops")))
+            pick = lambda name: F.when(better, F.col(f"new.{name}")).otherwise(F.col(name)).alias(name)  # noqa: E731, B023
+            best = stored(merged.select("source", "id", pick("dist"), pick("hops"), pick("before"), F.coalesce("bound", "ahead").alias("bound"), F.when(nearer, True).otherwise(F.col("waits")).alias("waits")))
+
+    def _nearest(self, start, goal=None, edges: DataFrame | None = None) -> DataFrame:
+        """_search from one vertex over weights not below 0. Runs of vertices with two neighbours
+        are one step in it, so its rounds don't grow with their lengths."""
+        edges = self._lightest() if edges is None else edges
+        ends = self.vertices.where(F.col("id").isin(start, goal) if goal is not None else F.col("id") == F.lit(start))
+        runs, along = self._runs(edges, ends)
+        width = edges.agg(F.avg("weight")).first()[0]
+        found = self._search(self._from(start), runs, width, goal)
+        if along is None:
+            return found
+        found = stored(found)
+        inner = found.select("source", F.col("id").alias("src"), F.col("dist").alias("so_far"), F.col("hops").alias("steps")).join(along, "src")
+        way = F.struct((F.col("so_far") + F.col("weight")).alias("dist"), (F.col("steps") + F.col("hops")).alias("hops"), F.col("last").alias("before"))
+        return stored(found.unionByName(inner.groupBy("source", F.col("dst").alias("id")).agg(F.min(way).alias("new")).select("source", "id", "new.*")))
+
+    @staticmethod
+    def _runs(edges: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """Edges in which each run through vertices with just two neighbours (but the ends) is one,
+        from src to dst with the weight and hops of all of it, and those that lead from the start of
+        a run to each vertex inside; None if there is none. Each edge finds the start of its run by
+        pointer doubling, in as many rounds as the longest run's length has binary digits."""
+        edges = edges.where("src <> dst")
+        sides = edges.select(F.col("src").alias("id"), F.col("dst").alias("other")).union(edges.select("dst", "src")).distinct()
+        inner = stored(sides.groupBy("id").agg(F.count("*").alias("n"), F.min("other").alias("a"), F.max("other").alias("b")).where("n = 2").join(ends, "id", "left_anti").select("id", "a", "b"))
+        if inner.isEmpty():
+            return edges, None
+        of = edges.join(inner.withColumnRenamed("id", "src"), "src", "left")
+        came = F.when(F.col("dst") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+        state = of.select("src", "dst", "weight", "hops", "last", F.when(F.col("a").isNull(), F.col("src")).alias("head"), F.when(F.col("a").isNotNull(), came).alias("from_src"), F.when(F.col("a").isNotNull(), F.col("src")).alias("from_dst"))
+        headed, open_ = stored(state.where("head is not null")), stored(state.where("head is null"))
+        left = open_.count()
+        while left:
+            all_ = headed.unionByName(open_)
+            back = all_.select(F.col("src").alias("from_src"), F.col("dst").alias("from_dst"), F.col("weight").alias("w"), F.col("hops").alias("h"), F.col("head").alias("begin"), F.col("from_src").alias("next_src"), F.col("from_dst").alias("next_dst"))
+            moved = stored(open_.join(back, ["from_src", "from_dst"]).select("src", "dst", (F.col("weight") + F.col("w")).alias("weight"), (F.col("hops") + F.col("h")).alias("hops"), "last", F.col("begin").alias("head"), F.col("next_src").alias("from_src"), F.col("next_dst").alias("from_dst")))
+            headed, open_ = stored(headed.unionByName(moved.where("head is not null"))), moved.where("head is null")
+            before, left = left, open_.count()
+            if left == before:  # what is left runs in circles that no run leads into
+                break
+        headed = headed.select(F.col("head").alias("src"), "dst", "weight", "hops", "last").where("src <> dst")
+        inside = inner.select(F.col("id").alias("dst"))
+        least = F.min(F.struct("weight", "hops", "last")).alias("e")
+        runs = headed.join(inside, "dst", "left_anti").groupBy("src", "dst").agg(least).select("src", "dst", "e.*")
+        return stored(runs), headed.join(inside, "dst", "left_semi")
+
+    def _ways(self, found: DataFrame, goals: DataFrame) -> DataFrame:
+        """source, goal, id, before, hops of the goals (source, id) and of all vertices before them
+        but the start, by pointer doubling: rounds grow with the logarithm of the way."""
+        steps = found.where("before is not null")
+        jump = stored(steps.select("source", "id", F.col("before").alias("far")))
+        on = stored(goals.select("source", F.col("id").alias("goal"), "id"))
+        while True:
+            more = stored(on.join(jump, ["source", "id"]).select("source", "goal", F.col("far").alias("id")))
+            if more.isEmpty():
+                return on.join(steps.select("source", "id", "before", "hops"), ["source", "id"])
+            on = stored(on.union(more))
+            jump = stored(jump.join(jump.select("source", F.col("id").alias("far"), F.col("far").alias("next")), ["source", "far"]).select("source", "id", F.col("next").alias("far")))
+
+    def _with_paths(self, found: DataFrame, edges: DataFrame, goals: DataFrame | None = None) -> DataFrame:
+        """source, id, dist, path (edges from the start) of the goals, or of all that was found."""
+        found = stored(found)
+        rows = found if goals is None else found.join(goals.select("source", "id"), ["source", "id"], "left_semi")
+        ways = self._ways(found, rows).select("source", F.col("goal").alias("id"), "hops", F.col("before").alias("src"), F.col("id").alias("dst"))
+        ways = ways.join(edges.select("src", "dst", "weight"), ["src", "dst"])
+        path = F.transform(F.sort_array(F.collect_list(F.struct("hops", "src", "dst", "weight"))), lambda e: F.struct(e["src"].alias("src"), e["dst"].alias("dst"), e["weight"].alias("weight")))
+        paths = ways.groupBy("source", "id").agg(path.alias("path"))
+        none = F.array().cast(paths.schema["path"].dataType)
+        return rows.join(paths, ["source", "id"], "left").select("source", "id", "dist", F.coalesce("path", none).alias("path"))
 
     def _from(self, start) -> DataFrame:
         one = self.vertices.where(F.col("id") == F.lit(start))
         return one.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("dist"))
 
+    def _to(self, start, goal) -> DataFrame:
+        return self.vertices.where(F.col("id") == F.lit(goal)).select(F.lit(start).cast(self.vertices.schema["id"].dataType).alias("source"), "id")
+
+    def distances(self, start) -> DataFrame:
+        """id, dist, hops, before: the distance from start, the edges on the way and the vertex
+        before (null at the start); of equal costs the way with the fewest edges, then the least
+        vertex before. path_to makes paths of it."""
+        self._check_weights()
+        return self._nearest(start).drop("source")
+
+    def path_to(self, found: DataFrame, goals: DataFrame) -> DataFrame:
+        """id, dist, path to each of goals (id), from a table as of distances."""
+        one = lambda rows: rows.withColumn("source", F.lit(0))
+        return self._with_paths(one(found), self._lightest(), one(goals)).drop("source")
+
     def dijkstra(self, start) -> DataFrame:
-        """id, dist, path from start; of equal costs the path with the fewest edges, then the least."""
+        """id, dist, path from start; of equal costs the path with the fewest edges, then the least
+        vertex before. The paths of all hold as many edges as they are long: distances has none."""
         self._check_weights()
-        return self._relax(self._from(start), self.edges).drop("source")
+        edges = self._lightest()
+        return self._with_paths(self._nearest(start, edges=edges), edges).drop("source")
 
     def dijkstra_pair(self, start, end) -> DataFrame:
         self._check_weights()
-        return self._relax(self._from(start), self.edges, target=end).drop("source").where(F.col("id") == F.lit(end))
+        edges = self._lightest()
+        return self._with_paths(self._nearest(start, end, edges), edges, self._to(start, end)).drop("source")
+
+    def _any_weights(self, start) -> DataFrame:
+        return self._search(self._from(start), self._lightest(), rounds=self.vertices.count())
 
     def bellman_ford(self, start) -> DataFrame:
         """As dijkstra; weights may be negative, negative cycles raise."""
-        return self._relax(self._from(start), self.edges, rounds=self.vertices.count()).drop("source")
+        return self._with_paths(self._any_weights(start), self._lightest()).drop("source")
+
+    def bellman_ford_distances(self, start) -> DataFrame:
+        """As distances; weights may be negative, negative cycles raise."""
+        return self._any_weights(start).drop("source")
 
     def bellman_ford_pair(self, start, end) -> DataFrame:
-        return self.bellman_ford(start).where(F.col("id") == F.lit(end))
+        return self._with_paths(self._any_weights(start), self._lightest(), self._to(start, end)).drop("source")
 
     def landmark_bounds(self, goal, count: int = 4) -> DataFrame:
         """id, bound: a lower estimate of each vertex's distance to goal, for a_star.
@@ -175,7 +281,7 @@ class Graph:
         """
         self._check_weights()
         back = Graph(self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), self.vertices)
-        all_ways = lambda graph, v: cut(graph._relax(graph._from(v), graph.edges).select("id", "dist"))
+        all_ways = lambda graph, v: cut(graph._nearest(v).select("id", "dist"))
         reach, out, lower = all_ways(back, goal).withColumnRenamed("dist", "far"), self.vertices, [F.lit(0.0)]
         for k in range(count):
             mark = reach.orderBy(F.desc("far"), "id").first()
@@ -196,58 +302,15 @@ class Graph:
         """id, dist and path to goal, no row if it can't be reached. heuristic is a lower bound of
         the rest of the way: a column over id, or a table (id, bound) as of landmark_bounds."""
         self._check_weights()
-        if isinstance(heuristic, DataFrame):
-            return self._best_first(start, goal, heuristic).where(F.col("id") == F.lit(goal)).drop("estimate")
-        return self._relax(self._from(start), self.edges, target=goal, bound=heuristic).drop("source").where(F.col("id") == F.lit(goal))
+        if heuristic is None:
+            return self.dijkstra_pair(start, goal)
+        bounds = heuristic if isinstance(heuristic, DataFrame) else self.vertices.select("id", heuristic.cast("double").alias("bound"))
+        return self._with_paths(self._best_first(start, goal, bounds), self._lightest(), self._to(start, goal)).drop("source")
 
     def _best_first(self, start, goal, bounds: DataFrame) -> DataFrame:
-        """id, dist, path, estimate (of the whole way through it) of the vertices touched.
-
-        A round goes on from those whose estimates are within an average edge of the least one;
-        the others wait. It ends when none that waits can beat the goal's distance. The ways kept
-        are those to their last edge only, and one way is put together in the end.
-        """
-        edges = cut(self.edges.groupBy("src", "dst").agg(F.min(F.col("weight").cast("double")).alias("weight")))
-        step_width = edges.agg(F.avg("weight")).first()[0] or 0.0
-        bounds = bounds.select("id", F.coalesce("bound", F.lit(0.0)).alias("bound"))
-        kind = self.vertices.schema["id"].dataType.simpleString()
-        best = cut(self._from(start).join(bounds, "id").select("id", "dist", F.lit(None).cast(kind).alias("before"), F.col("bound").alias("estimate"), F.lit(True).alias("waits")))
-        while True:
-            low, reached = best.agg(F.min(F.when(F.col("waits"), F.col("estimate"))), F.min(F.when(F.col("id") == F.lit(goal), F.col("dist")))).first()
-            if low is None or reached is not None and low >= reached:
-                break
-            now = F.col("waits") & (F.col("estimate") <= low + step_width)
-            step = best.where(now).select(F.col("id").alias("src"), "dist").join(edges, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.struct((F.col("dist") + F.col("weight")).alias("dist"), F.col("src").alias("before"))).alias("new"))
-            step = step.join(bounds, "id")
-            merged = best.withColumn("waits", F.col("waits") & ~now).join(step, "id", "full")
-            better = F.col("new").isNotNull() & (F.col("dist").isNull() | (F.col("new.dist") < F.col("dist")))
-            pick = lambda new, old: F.when(better, new).otherwise(F.col(old)).alias(old)  # noqa: E731, B023
-            best = cut(merged.select("id", pick(F.col("new.dist"), "dist"), pick(F.col("new.before"), "before"), pick(F.col("new.dist") + F.col("bound"), "estimate"), pick(F.lit(True), "waits")))
-        return self._way_back(best, edges, goal)
-
-    def _way_back(self, best: DataFrame, edges: DataFrame, goal) -> DataFrame:
-        """best with path, which only the goal has: the edges from the start, by the vertices before."""
-        rows = {r.id: r.before for r in self._ancestors(best, goal).collect()}
-        way, at = [], goal
-        while rows.get(at) is not None:
-            way.append((rows[at], at))
-            at = rows[at]
-        kind = self.vertices.schema["id"].dataType.simpleString()
-        steps = self.spark.createDataFrame([(k, u, v) for k, (u, v) in enumerate(reversed(way))], f"at int, src {kind}, dst {kind}").join(edges, ["src", "dst"])
-        path = steps.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "src", "dst", "weight"))), lambda e: F.struct(e["src"].alias("src"), e["dst"].alias("dst"), e["weight"].alias("weight"))).alias("path"))
-        return best.join(F.broadcast(path)).select("id", "dist", F.when(F.col("id") == F.lit(goal), F.col("path")).alias("path"), "estimate")
-
-    @staticmethod
-    def _ancestors(best: DataFrame, goal) -> DataFrame:
-        """id, before of the goal and all before it, by pointer doubling: rounds grow with the
-        logarithm of the way."""
-        jump, on = cut(best.select("id", F.col("before").alias("far"))), best.where(F.col("id") == F.lit(goal)).select("id")
-        while True:
-            more = cut(on.union(on.join(jump, "id").where("far is not null").select(F.col("far").alias("id"))).distinct())
-            jump = cut(jump.join(jump.select(F.col("id").alias("far"), F.col("far").alias("next")), "far", "left").select("id", F.col("next").alias("far")))
-            on = more
-            if jump.join(on, "id").where("far is not null").isEmpty():
-                return best.join(on, "id", "left_semi").select("id", "before")
+        """The vertices touched on the way to goal."""
+        edges = self._lightest()
+        return self._search(self._from(start), edges, edges.agg(F.avg("weight")).first()[0], goal, bounds)
 
     def floyd_warshall(self) -> DataFrame:
         """src, dst, dist for all pairs, by squaring the table of distances; 0 on the diagonal."""
@@ -267,12 +330,12 @@ class Graph:
 
     def johnson(self) -> DataFrame:
         """source, id, dist, path for all pairs; weights may be negative, negative cycles raise."""
-        flat = self._relax(self.vertices.select(F.lit(0).alias("source"), "id", F.lit(0.0).alias("dist")), self.edges, rounds=self.vertices.count() + 1)
+        flat = self._search(self.vertices.select(F.lit(0).alias("source"), "id", F.lit(0.0).alias("dist")), self._lightest(), rounds=self.vertices.count() + 1)
         h = cut(flat.select("id", F.col("dist").alias("h")))
         of = lambda end: h.select(F.col("id").alias(end), F.col("h").alias(f"h_{end}"))
-        shifted = self.edges.join(of("src"), "src").join(of("dst"), "dst").select("src", "dst", F.greatest(F.lit(0.0), F.col("weight") + F.col("h_src") - F.col("h_dst")).alias("weight"), F.col("weight").alias("own"))
+        shifted = self._lightest(self.edges.join(of("src"), "src").join(of("dst"), "dst").select("src", "dst", F.greatest(F.lit(0.0), F.col("weight") + F.col("h_src") - F.col("h_dst")).alias("weight")))
         everywhere = self.vertices.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("dist"))
-        found = self._relax(everywhere, shifted.select("src", "dst", "weight"))
+        found = self._with_paths(self._search(everywhere, shifted, shifted.agg(F.avg("weight")).first()[0]), shifted)
         back = found.join(h, "id").join(h.select(F.col("id").alias("source"), F.col("h").alias("h0")), "source")
         return back.select("source", "id", (F.col("dist") - F.col("h0") + F.col("h")).alias("dist"), F.transform("path", lambda e: F.struct(e["src"].alias("src"), e["dst"].alias("dst"))).alias("path"))
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import Graph
 from ..operators.tree import Tree
+from ..session import cut
 from ..sources import tables as tb
 from .registry import query, r4
 
@@ -67,7 +68,7 @@ def graph_path_to(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_SSSP)
 def graph_dijkstra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _trade(spark, sf_dir).dijkstra(0).select("id", "dist")
+    return _trade(spark, sf_dir).distances(0).select("id", "dist")
 
 
 @query(f"select * from ({_SSSP}) where id = 17")
@@ -77,7 +78,7 @@ def graph_dijkstra_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_SSSP)
 def graph_bellman_ford(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _trade(spark, sf_dir).bellman_ford(0).select("id", "dist")
+    return _trade(spark, sf_dir).bellman_ford_distances(0).select("id", "dist")
 
 
 @query(f"select * from ({_SSSP}) where id = 11")
@@ -121,7 +122,7 @@ def graph_path_to_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_SSSP)
 def graph_dijkstra_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _trade(spark, sf_dir).dijkstra(0).select("id", "dist")
+    return _trade(spark, sf_dir).distances(0).select("id", "dist")
 
 
 @query(f"select * from ({_SSSP}) where id = 17")
@@ -131,7 +132,7 @@ def graph_dijkstra_pair_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_SSSP)
 def graph_bellman_ford_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _trade(spark, sf_dir).bellman_ford(0).select("id", "dist")
+    return _trade(spark, sf_dir).bellman_ford_distances(0).select("id", "dist")
 
 
 @query(f"select * from ({_SSSP}) where id = 11")
@@ -261,6 +262,47 @@ def graph_a_star_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.lit(first).alias("start"), F.lit(last).alias("goal"), "dist")
 
 
+# a distance and its number of edges as one number, so that the least has the fewest edges of equal ones
+_PART_WAYS = _relaxed(f"""trade as materialized (with {tb.PART_EDGES_SQL} select src, dst, ((src + dst) % 17 + 1) * 100000 + 1 as weight from (select src, dst from pe union select dst, src from pe))""", "select min(l_partkey) as id, 0::bigint as d from lineitem", "w.d + t.weight", 30) + """,
+    ways as materialized (select v.id, v.d, min(u.id) as before from d30 v left join (trade t join d30 u on u.id = t.src) on t.dst = v.id and u.d + t.weight = v.d and v.d > 0 group by v.id, v.d)"""
+
+
+def _weighed_parts(spark: SparkSession, sf_dir: str) -> tuple[Graph, int]:
+    """Parts that follow each other in orders, with weights of 1 to 17, and the least part."""
+    edges = tb.part_edges(spark, sf_dir).withColumn("weight", ((F.col("src") + F.col("dst")) % 17 + 1).cast("double"))
+    rows = tb.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"))
+    return Graph(edges, rows, directed=False), rows.agg(F.min("id")).first()[0]
+
+
+@query(f"{_PART_WAYS} select id, (d // 100000)::double as dist, (d % 100000)::int as hops, before from ways")
+def graph_distances_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the least part to all parts."""
+    graph, first = _weighed_parts(spark, sf_dir)
+    return graph.distances(first)
+
+
+@query(f"""{_PART_WAYS}, back as (with recursive r(id, before, d) as (select id, before, d from ways where d = (select max(d) from ways) and id = (select min(id) from ways where d = (select max(d) from ways))
+    union all select w.id, w.before, w.d from r join ways w on w.id = r.before) select * from r)
+    select (d % 100000 - 1)::int as place, before as src, id as dst, ((before + id) % 17 + 1)::double as weight from back where before is not null""")
+def graph_farthest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The path to the part that is farthest from the least one, an edge a row."""
+    graph, first = _weighed_parts(spark, sf_dir)
+    found = cut(graph.distances(first))
+    goal = found.orderBy(F.desc("dist"), F.desc("hops"), "id").limit(1).select("id")
+    return graph.path_to(found, goal).select(F.posexplode("path").alias("place", "e")).select("place", "e.*")
+
+
+@query("""with o as (select o_custkey as c, o_orderkey as k, floor(o_totalprice) as w, o_orderdate from orders)
+    select 'o' || k as id, sum(w) over (partition by c order by o_orderdate, k) as dist, (row_number() over (partition by c order by o_orderdate, k))::int as hops from o union all select 'start', 0, 0""")
+def graph_distances_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From one start to every customer's first order, and on to the next: prices add up along runs."""
+    orders = tb.table(spark, sf_dir, "orders")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    name = F.concat(F.lit("o"), F.col("o_orderkey"))
+    edges = orders.select(F.coalesce(F.lag(name).over(w), F.lit("start")).alias("src"), name.alias("dst"), F.floor("o_totalprice").alias("weight"))
+    return Graph(edges).distances("start").select("id", "dist", "hops")
+
+
 # hierarchies
 
 _REC = f"""with recursive {tb.TREE_SQL}, rel(node, parent, depth, path, key) as (select node, parent, 0, [node], []::bigint[] from t where parent is null

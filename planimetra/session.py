@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,10 +19,24 @@ def session(app: str = "planimetra", **conf: str) -> SparkSession:
 def cut(df: DataFrame) -> DataFrame:
     """df written to the folder of spark.checkpoint.dir and read back: rows fixed, lineage gone.
     Where none is set, a local session gets a temporary folder; on a cluster that is an error."""
+    _folder(df)
+    return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """As cut, by a Parquet table there whose size is known. A checkpoint keeps the estimate of its
+    plan; where each round joins the last with itself that has twice as many digits every time,
+    and takes minutes to work out after some fifteen rounds."""
+    path = f"{_folder(df)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _folder(df: DataFrame) -> str:
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not folder and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    return sc._jsc.sc().getCheckpointDir().get()
