@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, stored
+from ..session import cut, drop_stored, stored
+from . import all_pairs
 
 #: A round of depth-first search loads all open edges if they are at most WALK_EDGES; else
 #: those of at most WALK vertices and WALK open calls, at most FAN of one vertex at a time.
@@ -156,7 +157,8 @@ class Graph:
             better = F.col("new").isNotNull() & (F.col("dist").isNull() | (F.col("new") < F.struct("dist", "hops", "before")))
             nearer = better & (F.col("dist").isNull() | (F.struct("new.dist", "new.hops") < F.struct("dist", "hops")))
             pick = lambda name: F.when(better, F.col(f"new.{name}")).otherwise(F.col(name)).alias(name)  # noqa: E731, B023
-            best = stored(merged.select("source", "id", pick("dist"), pick("hops"), pick("before"), F.coalesce("bound", "ahead").alias("bound"), F.when(nearer, True).otherwise(F.col("waits")).alias("waits")))
+            last, best = best, stored(merged.select("source", "id", pick("dist"), pick("hops"), pick("before"), F.coalesce("bound", "ahead").alias("bound"), F.when(nearer, True).otherwise(F.col("waits")).alias("waits")))
+            drop_stored(last)
 
     def _nearest(self, start, goal=None, edges: DataFrame | None = None) -> DataFrame:
         """_search from one vertex over weights not below 0. Runs of vertices with two neighbours
@@ -312,21 +314,10 @@ class Graph:
         edges = self._lightest()
         return self._search(self._from(start), edges, edges.agg(F.avg("weight")).first()[0], goal, bounds)
 
-    def floyd_warshall(self) -> DataFrame:
-        """src, dst, dist for all pairs, by squaring the table of distances; 0 on the diagonal."""
-        zero = self.vertices.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("dist"))
-        table = cut(self.edges.where("src <> dst").select("src", "dst", F.col("weight").cast("double").alias("dist")).union(zero).groupBy("src", "dst").agg(F.min("dist").alias("dist")))
-        span, n = 1, self.vertices.count()
-        while span < n:
-            halves = table.select("src", F.col("dst").alias("k"), "dist").join(table.select(F.col("src").alias("k"), "dst", F.col("dist").alias("rest")), "k")
-            better = cut(halves.groupBy("src", "dst").agg(F.min(F.col("dist") + F.col("rest")).alias("dist")))
-            if not better.where("src = dst and dist < 0").isEmpty():
-                raise ValueError("Graph contains a negative weight cycle.")
-            same = better.join(table, ["src", "dst", "dist"], "left_anti").isEmpty()
-            table, span = better, span * 2
-            if same:
-                break
-        return table
+    def floyd_warshall(self, side: int = all_pairs.SIDE) -> DataFrame:
+        """src, dst, dist for all pairs, by tiles of the matrix; 0 on the diagonal. Weights may be
+        negative, negative cycles raise; loops aren't used."""
+        return all_pairs.distances(self.vertices, self.edges, side)
 
     def johnson(self) -> DataFrame:
         """source, id, dist, path for all pairs; weights may be negative, negative cycles raise."""
@@ -404,18 +395,50 @@ class Graph:
         return layers
 
     def _layers(self, reverse: bool = False) -> DataFrame:
+        """id, layer of what no cycle leads to: the longest way there. Vertices with one predecessor
+        follow the first before them that has none or several, so rounds are for those alone."""
         if not self.directed:
             raise ValueError("a topological order needs a directed graph")
         a, b = ("dst", "src") if reverse else ("src", "dst")
-        edges, left, out, layer = cut(self.given.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct()), cut(self.vertices), None, 0
+        edges = stored(self.given.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct())
+        led = self._led(edges)
+        joints = self.vertices.join(led.select("id"), "id", "left_anti")
+        # an edge to a joint starts at the joint that its tail hangs from
+        tails = led.select(F.col("id").alias("a"), "head", "steps")
+        onto = edges.join(led.select(F.col("id").alias("b")), "b", "left_anti").join(tails, "a", "left")
+        # of several ways from one joint to another the longest counts
+        left = stored(onto.groupBy(F.coalesce("head", "a").alias("a"), "b").agg(F.max(F.coalesce("steps", F.lit(0)) + 1).alias("steps")))
+        layers = stored(joints.join(left.select(F.col("b").alias("id")), "id", "left_anti").select("id", F.lit(0).alias("layer")))
+        fresh, open_ = layers, stored(left.select(F.col("b").alias("id")).distinct().withColumn("layer", F.lit(0)))
+        while not fresh.isEmpty():
+            met = left.join(fresh.select(F.col("id").alias("a"), "layer"), "a")
+            reached = met.groupBy(F.col("b").alias("id")).agg(F.max(F.col("layer") + F.col("steps")).alias("new"))
+            rest = stored(left.join(fresh.select(F.col("id").alias("a")), "a", "left_anti"))
+            now = stored(open_.join(reached, "id", "left").select("id", F.greatest("layer", F.coalesce("new", "layer")).alias("layer")))
+            waits = rest.select(F.col("b").alias("id")).distinct()
+            fresh = stored(now.join(waits, "id", "left_anti"))
+            more = stored(layers.unionByName(fresh))
+            still = stored(now.join(waits, "id", "left_semi"))
+            for old in (left, open_, now, layers):
+                drop_stored(old)
+            left, open_, layers = rest, still, more
+        hung = led.join(layers.select(F.col("id").alias("head"), F.col("layer").alias("above")), "head")
+        return layers.unionByName(hung.select("id", (F.col("above") + F.col("steps")).alias("layer")))
+
+    @staticmethod
+    def _led(edges: DataFrame) -> DataFrame:
+        """id, head, steps of the vertices with one edge (a, b) to them: how many steps lead there
+        from the nearest vertex before that has none or several, by pointer doubling, in as many
+        rounds as the steps have binary digits. The head of what only a circle leads to is in it."""
+        table = stored(edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("head"), F.count("*").alias("n")).where("n = 1").select("id", "head", F.lit(1).alias("steps")))
+        led, open_ = table.select("id"), table.count()
         while True:
-            free = cut(left.join(edges.select(F.col("b").alias("id")), "id", "left_anti").select("id", F.lit(layer).alias("layer")))
-            if free.isEmpty():
-                return out if out is not None else free
-            out = free if out is None else out.union(free)
-            left = cut(left.join(free, "id", "left_anti"))
-            edges = cut(edges.join(free.select(F.col("id").alias("a")), "a", "left_anti"))
-            layer += 1
+            beyond = table.select(F.col("id").alias("head"), F.col("head").alias("next"), F.col("steps").alias("more"))
+            moved = stored(table.join(beyond, "head", "left").select("id", F.coalesce("next", "head").alias("head"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
+            before, open_ = open_, moved.select("head").join(led.withColumnRenamed("id", "head"), "head", "left_semi").count()
+            led, table = moved.select("id"), moved
+            if open_ in (0, before):
+                return table
 
     # structure
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import Graph
+from ..operators.ordered import placed
 from ..operators.tree import Tree
 from ..session import cut
 from ..sources import tables as tb
@@ -303,6 +304,31 @@ def graph_distances_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Graph(edges).distances("start").select("id", "dist", "hops")
 
 
+_SUPPLY_STEPS = """d0 as materialized (with se as (select src, dst, w from (select l_suppkey as src, lead(l_suppkey) over o as dst, l_quantity as w from lineitem
+    window o as (partition by l_orderkey order by l_partkey, l_suppkey, l_linenumber, l_quantity)) where dst is not null and src <> dst)
+    select src, dst, min(w)::double as dist from (select * from se union all select l_suppkey, l_suppkey, 0 from lineitem) group by 1, 2)"""
+_SUPPLY_PAIRS = "with " + ", ".join([_SUPPLY_STEPS] + [f"d{k + 1} as materialized (select a.src, b.dst, min(a.dist + b.dist) as dist from d{k} a join d{k} b on a.dst = b.src group by 1, 2)" for k in range(8)])
+
+
+@query(f"{_SUPPLY_PAIRS} select src, dst, dist from d8")
+def graph_all_pairs_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of all pairs of suppliers; one leads to the next in an order's lines, by the first one's quantity."""
+    lines = tb.table(spark, sf_dir, "lineitem")
+    w = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
+    steps = lines.select(F.col("l_suppkey").alias("src"), F.lead("l_suppkey").over(w).alias("dst"), F.col("l_quantity").alias("weight"))
+    return Graph(steps.where("dst is not null and src <> dst"), lines.select(F.col("l_suppkey").alias("id"))).floyd_warshall()
+
+
+@query("""with o as (select o_orderkey as id, row_number() over (order by o_orderdate, o_orderkey) - 1 as n from orders)
+    select id, n::int as layer from o""")
+def graph_topological_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layers of all orders, each before the next in time: one chain as long as the table."""
+    orders = tb.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", "o_orderdate")
+    at = cut(placed(orders, "o_orderdate", "id"))
+    after = at.select(F.col("id").alias("dst"), (F.col("place") - 1).alias("place"))
+    return Graph(at.join(after, "place").select(F.col("id").alias("src"), "dst"), at.select("id")).topological()
+
+
 # hierarchies
 
 _REC = f"""with recursive {tb.TREE_SQL}, rel(node, parent, depth, path, key) as (select node, parent, 0, [node], []::bigint[] from t where parent is null

@@ -32,6 +32,20 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(df: DataFrame) -> None:
+    """Removes a table as of stored that nothing reads any more; any other is left alone."""
+    files = df.inputFiles()
+    if not files:
+        return
+    sc = df.sparkSession.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+    system = folder.getFileSystem(sc._jsc.hadoopConfiguration())
+    # qualified, as one folder may be written file:/x and file:///x
+    shared = system.makeQualified(sc._jvm.org.apache.hadoop.fs.Path(_folder(df)))
+    if system.makeQualified(folder.getParent()).equals(shared):
+        system.delete(folder, True)
+
+
 def _folder(df: DataFrame) -> str:
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
