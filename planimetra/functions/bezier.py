@@ -14,6 +14,10 @@ from .rect import rect
 KAPPA = 0.5522847498
 #: Chords of the arc-length table: three quarters of the length, within these.
 FEWEST, MOST = 8, 1000
+#: Parts that lengths are integrated in, and Newton's steps in one of them.
+PIECES, STEPS = 16, 5
+#: Places and weights of Gauss's rule on -1 to 1 (fixed values).
+GAUSS = ((0.0, 128 / 225), (0.5384693101056831, 0.47862867049936647), (-0.5384693101056831, 0.47862867049936647), (0.9061798459386640, 0.23692688505618908), (-0.9061798459386640, 0.23692688505618908))
 
 
 def curve(p0: Column, c1: Column, c2: Column, p3: Column) -> Column:
@@ -105,14 +109,55 @@ def point_at_length(b: Column, at: Column | float) -> Column:
     return _let(t_at_length(b, at), lambda t: point_at(b, t))
 
 
+def _speed(b: Column, t: Column) -> Column:
+    return _let(tangent_at(b, t), lambda d: F.sqrt(v.dot(d, d)))
+
+
+def _arc(b: Column, t0: Column, t1: Column) -> Column:
+    """The length from t0 to t1 by Gauss's rule of five places."""
+    mid, half = (t0 + t1) / 2, (t1 - t0) / 2
+    total = F.lit(0.0)
+    for place, weight in GAUSS:
+        total = total + weight * _speed(b, mid + half * place)
+    return total * half
+
+
+def _arcs(b: Column) -> Column:
+    """Running sums of the lengths of PIECES parts of equal t, from 0 on."""
+    parts = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: _arc(b, i / F.lit(float(PIECES)), (i + 1) / F.lit(float(PIECES))))
+    return _let(parts, lambda p: F.transform(F.sequence(F.lit(0), F.lit(PIECES)), lambda i: F.aggregate(F.slice(p, F.lit(1), i), F.lit(0.0), lambda s, d: s + d)))
+
+
+def _t_by_arc(b: Column, sums: Column, at: Column) -> Column:
+    """The parameter at a length, found by Newton's steps from where the table puts it; a step stays
+    in the part of the table. Ends are clamped; a curve without length gives 0."""
+
+    def within(s: Column) -> Column:
+        step = lambda t: t - F.coalesce(F.try_divide(_arc(b, s["low"], t) - s["rest"], _speed(b, t)), F.lit(0.0))
+        start = s["low"] + F.coalesce(F.try_divide(s["rest"], s["length"]), F.lit(0.0)) / PIECES
+        return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, lambda t, _: F.greatest(s["low"], F.least(s["low"] + 1.0 / PIECES, step(t))))
+
+    def found(k: Column) -> Column:
+        before = F.element_at(sums, k)
+        return _let(F.struct(((k - 1) / F.lit(float(PIECES))).alias("low"), (at - before).alias("rest"), (F.element_at(sums, k + 1) - before).alias("length")), within)
+
+    passed = F.size(F.filter(sums, lambda x: x <= at))
+    return F.when(at <= 0, F.lit(0.0)).when(at >= F.element_at(sums, -1), F.lit(1.0)).otherwise(_let(F.greatest(F.lit(1), F.least(passed, F.lit(PIECES))), found))
+
+
 def tangent_at_length(b: Column, at: Column | float) -> Column:
-    return v.unit(tangent_at(b, t_at_length(b, at)))
+    """The unit tangent at a length along the curve, to within even_ts's precision."""
+    at = at if isinstance(at, Column) else F.lit(float(at))
+    t = lambda c: _let(F.struct(_arcs(c["b"]).alias("sums"), c["at"].alias("at")), lambda s: _t_by_arc(c["b"], s["sums"], s["at"]))
+    return _let(F.struct(b.alias("b"), at.alias("at")), lambda c: _let(_let(t(c), lambda u: tangent_at(c["b"], u)), v.unit))
 
 
 def even_ts(b: Column, n: int) -> Column:
-    """n + 1 parameters at equal distances along the curve."""
-    at = lambda table, i: _t_in(table, F.element_at(table, -1) * i / F.lit(float(n)))
-    return _let(lengths(b), lambda table: F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: at(table, i)))
+    """n + 1 parameters at equal distances along the curve; without turning points of no speed, the
+    distances are equal to some 1e-5 of the length."""
+    at = lambda c, sums, i: _let(F.element_at(sums, -1) * i / F.lit(float(n)), lambda s: _t_by_arc(c, sums, s))
+    all_ = lambda c, sums: F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.when(i == n, F.lit(1.0)).otherwise(at(c, sums, i)))
+    return _let(b, lambda c: _let(_arcs(c), lambda sums: all_(c, sums)))
 
 
 def bbox(b: Column) -> Column:

@@ -215,6 +215,13 @@ def bezier_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, sf_dir, length=r4(bezier.length(k)), hx=r4(half["x"]), hy=r4(half["y"]), xmin=r4(box["xmin"]), xmax=r4(box["xmax"]), pieces=F.size(bezier.split_parts(k, 4)), near=bezier.contains(k, v.point(c, d)))
 
 
+@query()
+def bezier_even(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five parameters that cut each curve in equal lengths, and the unit tangent at a length of 5."""
+    k = _bezier()
+    return _rows(spark, sf_dir, ts=F.transform(bezier.even_ts(k, 4), lambda t: F.round(t, 9)), tangent=bezier.tangent_at_length(k, 5.0))
+
+
 @query(_sql(arc="greatest(1, ceil(abs(g) / (pi() / 2)))::int", ax=_r("a + (c + 1) * cos(e) - (c + 1) * 4 / 3 * tan(g / greatest(1, ceil(abs(g) / (pi() / 2))) / 4) * sin(e)"), oval=_r("b + 1.5 + 1.5 * 0.5522847498"), round="8"))
 def bezier_factories(spark: SparkSession, sf_dir: str) -> DataFrame:
     arc = bezier.of_arc(v.point(a, b), F.col("c") + 1, F.col("e"), F.col("g"))

@@ -119,6 +119,37 @@ def test_bezier_by_length(spark):
         assert (part.p0.x, part.p0.y) == pytest.approx(at(i / 3)) and (part.p3.x, part.p3.y) == pytest.approx(at((i + 1) / 3))
 
 
+def test_bezier_even(spark, shapes):
+    """Against lengths integrated in 4,000 places; every curve's parameters grow from 0 to 1."""
+    rows = QUERIES["bezier_even"](spark, SF_DIR).collect()
+    assert len(rows) == len(shapes)
+    ts = (np.arange(4000) + 0.5) / 4000
+    for r in rows:
+        assert r.ts[0] == 0 and r.ts[-1] == 1 and r.ts == sorted(r.ts)
+    for r in rows[:60]:
+        p = np.array(_bezier_points(spark, r.id))
+        d = np.diff(p, axis=0) * 3
+        slope = lambda t: np.outer((1 - t) ** 2, d[0]) + np.outer(2 * (1 - t) * t, d[1]) + np.outer(t * t, d[2])  # noqa: E731, B023
+        sums = np.concatenate([[0], np.cumsum(np.hypot(*slope(ts).T)) / 4000])
+        total = sums[-1]
+        # a near standstill in a part costs the rule some digits
+        calm = np.hypot(*slope(ts).T).min() > 0.2 * total
+        got = np.interp(r.ts, np.linspace(0, 1, 4001), sums)
+        assert got == pytest.approx(total * np.arange(5) / 4, abs=total * (1e-5 if calm else 2e-3))
+        t = np.interp(min(5.0, total), sums, np.linspace(0, 1, 4001))
+        way = slope(np.array([t]))[0]
+        if calm:
+            assert (r.tangent.x, r.tangent.y) == pytest.approx(tuple(way / np.hypot(*way)), abs=1e-4)
+
+
+def test_even_spacing_of_points_and_lines(spark):
+    """A curve that is a point, and a straight one."""
+    dot, line = bezier.of_line(v.point(F.lit(3.0), F.lit(3.0)), v.point(F.lit(3.0), F.lit(3.0))), bezier.of_line(v.point(F.lit(0.0), F.lit(0.0)), v.point(F.lit(8.0), F.lit(0.0)))
+    row = spark.range(1).select(bezier.even_ts(dot, 2).alias("dot"), bezier.even_ts(line, 4).alias("line"), bezier.tangent_at_length(dot, 1.0).alias("none"), bezier.tangent_at_length(line, 99.0).alias("past")).first()
+    assert len(row.dot) == 3 and row.line == pytest.approx([0, 0.25, 0.5, 0.75, 1])
+    assert (row.none.x, row.none.y) == (0, 0) and (row.past.x, row.past.y) == pytest.approx((1, 0))
+
+
 def in_sector(s, x, y, grow=0.0) -> bool:
     """Whether a point lies in the sector, grown or shrunk by a distance at arcs and sides."""
     d, turned = math.hypot(x - s.a, y - s.b), (math.atan2(y - s.b, x - s.a) - s.j) % (2 * math.pi)
@@ -353,6 +384,7 @@ def test_spatial_layout_is_readable(spark, tmp_path):
 
 #: Queries without SQL, and the test that holds each against plain Python.
 TESTED = {
+    "bezier_even": "here",
     "polygon_hull_clip": "here", "bezier_lengths": "here", "sector_overlaps": "here", "snapped_points": "here",
     "graph_matching": "test_whole_jobs", "graph_dfs": "test_whole_jobs", "graph_supply_flow": "test_rounds",
     "tree_preorder_all": "test_whole_jobs", "tree_postorder_all": "test_whole_jobs", "tree_level_order_all": "test_whole_jobs",
