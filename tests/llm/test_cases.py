@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 import random
 import re
+import time
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -85,6 +87,29 @@ def test_near_duplicates_that_stars_leave_open(spark):
     assert len(set(want.values())) < len(want) - 20
 
 
+def test_near_duplicates_where_sets_go_to_the_pairs(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "FEW", 0)
+    texts = family(random.Random(2))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == by_brute_force(texts)
+
+
+def test_near_duplicates_leave_no_wide_tables_or_shuffle_files(spark):
+    def left():
+        local = Path(spark.conf.get("spark.local.dir"))
+        return set(local.glob("blockmgr-*/**/shuffle_*.data")) | set(local.glob("checkpoints/*/table-*"))
+
+    docs = spark.createDataFrame(list(family(random.Random(3)).items()), "doc_id long, text string")
+    setting, before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled"), left()
+    found = minhash.near_duplicates(docs)
+    for _ in range(20):  # files are removed a moment later
+        if left() - before:
+            time.sleep(0.5)
+    assert left() - before == set()
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+    assert found.count() == found.count() == docs.count()
+
+
 def test_regrouping_finds_links_between_nodes_that_no_centre_has(spark):
     rng = random.Random(4)
     texts = family(rng)
