@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from planimetra.llm import chat, exact_dedup, matroska, minhash, mixing, packing, quality, secret_scan, sharding, url_filter
+from planimetra.llm import chat, exact_dedup, matroska, minhash, mixing, packing, quality, runtime, secret_scan, sharding, url_filter
 
 
 # near duplicates
@@ -132,6 +132,28 @@ def test_regrouping_finds_links_between_nodes_that_no_centre_has(spark):
     assert found == by_brute_force(texts)
 
 
+def test_no_broadcast_for_hubs_that_are_not_there(spark):
+    """Each exchange takes a thread and memory of the driver."""
+    pairs = minhash.materialise(spark.createDataFrame([(k % 3, 10 + k) for k in range(30)], "a long, b long"))
+    table = spark.createDataFrame([(k, -k) for k in range(3)], "a long, x long")
+    heavy = runtime.hubs(pairs, "a")
+    joined = runtime.join_split(pairs, table, "a", "b", heavy)
+    assert heavy is None
+    assert "fan" not in joined._jdf.queryExecution().toString()
+    assert {tuple(r) for r in joined.collect()} == {(k % 3, 10 + k, -(k % 3)) for k in range(30)}
+    many = minhash.materialise(spark.range(2 * runtime.HUB).select(F.lit(1).cast("long").alias("a"), F.col("id").alias("b")))
+    assert runtime.join_split(many, table, "a", "b", runtime.hubs(many, "a")).where("x = -1").count() == 2 * runtime.HUB
+
+
+def test_garbage_of_rounds_leaves_the_driver(spark):
+    """The heap of the driver follows what a round needs, not what all rounds have left."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    whole = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = whole()
+    minhash.near_duplicates(spark.createDataFrame([(k, "a b c d e f g") for k in range(3)], "doc_id long, text string")).count()
+    assert whole() >= before + 3
+
+
 def test_recall_against_all_pairs(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
     want = by_brute_force({r.doc_id: r.text or "" for r in rows})
