@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,9 +89,7 @@ def length(b: Column) -> Column:
     return F.aggregate(_chords(b), F.lit(0.0), lambda s, d: s + d)
 
 
-def _let(value: Column, use) -> Column:
-    """use(value) with the value worked out once, however often use names it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+_let = v.let
 
 
 def t_at_length(b: Column, at: Column | float) -> Column:
@@ -109,55 +110,74 @@ def point_at_length(b: Column, at: Column | float) -> Column:
     return _let(t_at_length(b, at), lambda t: point_at(b, t))
 
 
-def _speed(b: Column, t: Column) -> Column:
-    return _let(tangent_at(b, t), lambda d: F.sqrt(v.dot(d, d)))
-
-
-def _arc(b: Column, t0: Column, t1: Column) -> Column:
-    """The length from t0 to t1 by Gauss's rule of five places."""
-    mid, half = (t0 + t1) / 2, (t1 - t0) / 2
-    total = F.lit(0.0)
-    for place, weight in GAUSS:
-        total = total + weight * _speed(b, mid + half * place)
-    return total * half
-
-
-def _arcs(b: Column) -> Column:
-    """Running sums of the lengths of PIECES parts of equal t, from 0 on."""
-    parts = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: _arc(b, i / F.lit(float(PIECES)), (i + 1) / F.lit(float(PIECES))))
-    return _let(parts, lambda p: F.transform(F.sequence(F.lit(0), F.lit(PIECES)), lambda i: F.aggregate(F.slice(p, F.lit(1), i), F.lit(0.0), lambda s, d: s + d)))
-
-
-def _t_by_arc(b: Column, sums: Column, at: Column) -> Column:
-    """The parameter at a length, found by Newton's steps from where the table puts it; a step stays
-    in the part of the table. Ends are clamped; a curve without length gives 0."""
-
-    def within(s: Column) -> Column:
-        step = lambda t: t - F.coalesce(F.try_divide(_arc(b, s["low"], t) - s["rest"], _speed(b, t)), F.lit(0.0))
-        start = s["low"] + F.coalesce(F.try_divide(s["rest"], s["length"]), F.lit(0.0)) / PIECES
-        return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, lambda t, _: F.greatest(s["low"], F.least(s["low"] + 1.0 / PIECES, step(t))))
-
-    def found(k: Column) -> Column:
-        before = F.element_at(sums, k)
-        return _let(F.struct(((k - 1) / F.lit(float(PIECES))).alias("low"), (at - before).alias("rest"), (F.element_at(sums, k + 1) - before).alias("length")), within)
-
-    passed = F.size(F.filter(sums, lambda x: x <= at))
-    return F.when(at <= 0, F.lit(0.0)).when(at >= F.element_at(sums, -1), F.lit(1.0)).otherwise(_let(F.greatest(F.lit(1), F.least(passed, F.lit(PIECES))), found))
+def _ts(curves: pa.Array, share: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """The parameters (row by row) at shares of each curve's length, or of given lengths. Ends are
+    clamped; a curve without length or without a coordinate gives 0, one whose length is not finite 1.
+
+    The speed is integrated in PIECES parts of equal t by Gauss's rule of five places; Newton's steps
+    start from where these put the length and stay in their part.
+    """
+    ends = [pc.struct_field(curves, k) for k in ("p0", "c1", "c2", "p3")]
+    null = np.zeros(len(curves), bool)
+    for end in ends:
+        for k in ("x", "y"):
+            null |= pc.is_null(pc.struct_field(end, k)).to_numpy(zero_copy_only=False)
+    places, weights = np.array(GAUSS).T
+    coordinate = lambda end, k: pc.cast(pc.struct_field(end, k), pa.float64()).to_numpy(zero_copy_only=False)
+    with np.errstate(all="ignore"):
+        steps = [[coordinate(q, k) - coordinate(p, k) for p, q in zip(ends, ends[1:])] for k in ("x", "y")]
+
+        def speed(t: np.ndarray) -> np.ndarray:
+            u, total = 1 - t, 0.0
+            for a, b, c in steps:
+                a, b, c = (d.reshape(-1, *[1] * (t.ndim - 1)) for d in (a, b, c))
+                total = total + (3 * u * u * a + 6 * u * t * b + 3 * t * t * c) ** 2
+            return np.sqrt(total)
+
+        def arc(t0: np.ndarray, t1: np.ndarray) -> np.ndarray:
+            mid, half = (t0 + t1) / 2, (t1 - t0) / 2
+            return (speed(mid[..., None] + half[..., None] * places) * weights).sum(-1) * half
+
+        grid = np.arange(PIECES + 1) / PIECES
+        parts = arc(grid[None, :-1], grid[None, 1:])
+        sums = np.concatenate([np.zeros((len(parts), 1)), np.cumsum(parts, 1)], 1)
+        at = sums[:, -1:] * share if at is None else at[:, None] * share
+        k = np.clip((sums[:, None, :] <= at[:, :, None]).sum(-1), 1, PIECES)
+        low, before = (k - 1) / PIECES, np.take_along_axis(sums, k - 1, 1)
+        rest, length = at - before, np.take_along_axis(sums, k, 1) - before
+        t = low + np.divide(rest, length, out=np.zeros_like(rest), where=length != 0) / PIECES
+        for _ in range(STEPS):
+            now = speed(t)
+            t = t - np.divide(arc(low, t) - rest, now, out=np.zeros_like(t), where=now != 0)
+            t = np.clip(t, low, low + 1 / PIECES)
+        t = np.where(at <= 0, 0.0, np.where((at >= sums[:, -1:]) | ~np.isfinite(sums[:, -1:]), 1.0, t))
+    t[null] = 0.0
+    return t
+
+
+def _t_at(curves: pa.Array, at: pa.Array) -> pa.Array:
+    lengths = pc.cast(at, pa.float64())
+    t = _ts(curves, np.ones(1), lengths.to_numpy(zero_copy_only=False))
+    return pa.array(np.where(lengths.is_null().to_numpy(zero_copy_only=False), 0.0, t[:, 0]))
 
 
 def tangent_at_length(b: Column, at: Column | float) -> Column:
     """The unit tangent at a length along the curve, to within even_ts's precision."""
     at = at if isinstance(at, Column) else F.lit(float(at))
-    t = lambda c: _let(F.struct(_arcs(c["b"]).alias("sums"), c["at"].alias("at")), lambda s: _t_by_arc(c["b"], s["sums"], s["at"]))
-    return _let(F.struct(b.alias("b"), at.alias("at")), lambda c: _let(_let(t(c), lambda u: tangent_at(c["b"], u)), v.unit))
+    t = F.arrow_udf(_t_at, "double")(b, at)
+    return _let(F.struct(b.alias("b"), t.alias("t")), lambda c: _let(tangent_at(c["b"], c["t"]), v.unit))
 
 
 def even_ts(b: Column, n: int) -> Column:
     """n + 1 parameters at equal distances along the curve; without turning points of no speed, the
-    distances are equal to some 1e-5 of the length."""
-    at = lambda c, sums, i: _let(F.element_at(sums, -1) * i / F.lit(float(n)), lambda s: _t_by_arc(c, sums, s))
-    all_ = lambda c, sums: F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.when(i == n, F.lit(1.0)).otherwise(at(c, sums, i)))
-    return _let(b, lambda c: _let(_arcs(c), lambda sums: all_(c, sums)))
+    distances are equal to some 1e-5 of the length. Worked out for whole Arrow batches."""
+
+    def work(curves: pa.Array) -> pa.Array:
+        t = _ts(curves, np.arange(n + 1) / n)
+        t[:, n] = 1.0
+        return pa.ListArray.from_arrays(np.arange(len(t) + 1, dtype=np.int32) * (n + 1), pa.array(t.ravel()))
+
+    return F.arrow_udf(work, "array<double>")(b)
 
 
 def bbox(b: Column) -> Column:

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .angle import TWO_PI, normalized
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once, however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def point(x: Column | str | float, y: Column | str | float) -> Column:
     x, y = (F.col(v) if isinstance(v, str) else v if isinstance(v, Column) else F.lit(float(v)) for v in (x, y))
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
