@@ -166,7 +166,8 @@ def polygon_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 def polygon_hull_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = polygon.hull(F.array(v.point(a, b), v.point(c, d), v.point(e, f), v.point(g, h), v.point(i, j)))
     cut = polygon.clip_to_rect(_kite(), rc.rect(2, 2, 9, 9))
-    return _rows(spark, sf_dir, hull=F.size(p), hull_area=r4(polygon.area(p)), clipped=F.size(cut), clip_area=r4(F.when(F.size(cut) > 2, polygon.area(cut)).otherwise(0.0)))
+    rows = _rows(spark, sf_dir, p=p, cut=cut)
+    return rows.select("id", F.size("p").alias("hull"), r4(polygon.area(F.col("p"))).alias("hull_area"), F.size("cut").alias("clipped"), r4(F.when(F.size("cut") > 2, polygon.area(F.col("cut"))).otherwise(0.0)).alias("clip_area"))
 
 
 _ANG = "case when atan2(f - b, h - a) < 0 then atan2(f - b, h - a) + 2 * pi() else atan2(f - b, h - a) end"
