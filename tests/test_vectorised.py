@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from planimetra.functions import bezier, polygon
 from planimetra.functions import rect as rc
 from planimetra.functions import vector as v
+from planimetra.operators import overlay
 
 
 def seconds(df) -> float:
@@ -76,3 +77,25 @@ def test_hulls_of_grid_points(spark):
     for r in df.select("id", polygon.hull(F.col("p")).alias("h")).collect():
         assert [(q.x, q.y) for q in r.h] == wrapped(sets[r.id])
     assert math.isclose(df.where("id = 120").select(polygon.area(polygon.hull(F.col("p")))).first()[0], 0.0)
+
+
+def test_overlays_of_many_pairs(spark):
+    """Rings joined one by one, and pairs that a side parts, made this half a minute in one task."""
+    x, y = F.sin(F.col("id")) * 2, F.cos(F.col("id") * 3) * 2
+    diamond = lambda x, y: F.array(v.point(x - 1, y), v.point(x, y - 1), v.point(x + 1, y), v.point(x, y + 1))
+    df = spark.range(0, 100_000, 1, 1).select("id", x.alias("x"), y.alias("y"), diamond(F.lit(0.0), F.lit(0.0)).alias("p"), diamond(x, y).alias("q"))
+    assert seconds(overlay.overlay(df, "p", "q")) < 10
+    u, w = F.abs(F.col("x") + F.col("y")), F.abs(F.col("x") - F.col("y"))
+    want = F.greatest(F.lit(0.0), 2 - u) * F.greatest(F.lit(0.0), 2 - w) / 2
+    wrong = overlay.overlay(df, "p", "q").where((F.abs(F.col("area") - want) > 1e-9) | (F.size("rings") != (F.col("area") > 0).cast("int")))
+    assert wrong.where(want > 1e-6).isEmpty() and wrong.where("area > 1e-6").isEmpty()
+
+
+def test_parted_outlines_and_those_that_only_seem_so(spark):
+    """A concave outline around a box that its own sides' lines would part, boxes that share a side or a corner."""
+    box = lambda x, y: [(x, y), (x + 1.0, y), (x + 1.0, y + 1.0), (x, y + 1.0)]
+    hook = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (3.0, 4.0), (3.0, 1.0), (0.0, 1.0)]
+    pairs = [(hook, box(2.5, 0.5), 0.75), (hook, box(3.5, 2.0), 0.5), (hook, box(1.0, 1.0), 0.0), (hook, box(2.5, 2.0), 0.5), (box(0.0, 0.0), box(1.0, 0.0), 0.0), (box(0.0, 0.0), box(1.0, 1.0), 0.0), (box(0.0, 0.0), box(0.0, 0.0), 1.0)]
+    df = spark.createDataFrame([(k, p, q) for k, (p, q, _) in enumerate(pairs)], "id int, p array<struct<x: double, y: double>>, q array<struct<x: double, y: double>>")
+    for r in overlay.overlay(df, "p", "q").collect():
+        assert r.area == pytest.approx(pairs[r.id][2]) and len(r.rings) == (r.area > 0)
