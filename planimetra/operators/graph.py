@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, drop_stored, stored
+from ..session import brief_shuffles, cut, drop_stored, stored
 from . import all_pairs
 
 #: A round of depth-first search loads all open edges if they are at most WALK_EDGES; else
@@ -542,27 +542,45 @@ class Graph:
         """
         if source == sink:
             raise ValueError("source and sink are the same")
+        with brief_shuffles(self.spark):
+            arcs, through = self._pushed(source, sink, capacity)
+        flows = arcs.where("cap > room").select("src", "dst", (F.col("cap") - F.col("room")).alias("flow"))
+        return flows, self.vertices.join(through, "id", "left_anti").select("id")
+
+    def _pushed(self, source, sink, capacity: str) -> tuple[DataFrame, DataFrame]:
+        """The edges with what room is left on them, and what still leads to the sink. Each round's
+        tables are removed once the next are written."""
         given = self.edges.where("src <> dst").groupBy("src", "dst").agg(F.sum(F.col(capacity).cast("long")).alias("cap")).where("cap > 0")
+        given = stored(given)
         both = given.union(given.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0).cast("long").alias("cap"))).groupBy("src", "dst").agg(F.sum("cap").alias("cap"))
         first = F.col("src") == F.lit(source)
         back = given.where(first).select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("cap").alias("sent"))
-        arcs = cut(both.join(back, ["src", "dst"], "left").select("src", "dst", "cap", (F.when(first, 0).otherwise(F.col("cap")) + F.coalesce("sent", F.lit(0))).alias("room")))
-        excess = cut(back.select(F.col("src").alias("id"), F.col("sent").alias("excess")))
+        arcs = stored(both.join(back, ["src", "dst"], "left").select("src", "dst", "cap", (F.when(first, 0).otherwise(F.col("cap")) + F.coalesce("sent", F.lit(0))).alias("room")))
+        excess = stored(back.select(F.col("src").alias("id"), F.col("sent").alias("excess")))
+        drop_stored(given)
         inner = ~F.col("id").isin(source, sink)
-        levels = None
-        while not (active := cut(excess.where(inner & (F.col("excess") > 0)))).isEmpty():
+        high, levels = self.vertices.count(), None
+        while not (active := stored(excess.where(inner & (F.col("excess") > 0)))).isEmpty():
             pushes = None if levels is None else self._pushes(arcs, active, levels)
+            drop_stored(active)
             if pushes is None or pushes.isEmpty():
-                levels = self._levels(arcs, source, sink)
+                for old in (pushes, levels):
+                    if old is not None:
+                        drop_stored(old)
+                levels = self._levels(arcs, source, sink, high)
                 continue
             undone = pushes.select(F.col("dst").alias("src"), F.col("src").alias("dst"), (-F.col("sent")).alias("sent"))
             net = pushes.union(undone).groupBy("src", "dst").agg(F.sum("sent").alias("sent"))
-            arcs = cut(arcs.join(net, ["src", "dst"], "left").select("src", "dst", "cap", (F.col("room") - F.coalesce("sent", F.lit(0))).alias("room")))
             moved = pushes.select(F.col("src").alias("id"), (-F.col("sent")).alias("excess")).union(pushes.select("dst", "sent"))
-            excess = cut(excess.union(moved).groupBy("id").agg(F.sum("excess").alias("excess")))
-        flows = arcs.where("cap > room").select("src", "dst", (F.col("cap") - F.col("room")).alias("flow"))
-        through = self._steps(arcs, sink)
-        return flows, self.vertices.join(through, "id", "left_anti").select("id")
+            before = arcs, excess, pushes
+            arcs = stored(arcs.join(net, ["src", "dst"], "left").select("src", "dst", "cap", (F.col("room") - F.coalesce("sent", F.lit(0))).alias("room")))
+            excess = stored(excess.union(moved).groupBy("id").agg(F.sum("excess").alias("excess")))
+            for old in before:
+                drop_stored(old)
+        for old in (active, excess, levels):
+            if old is not None:
+                drop_stored(old)
+        return arcs, self._steps(arcs, sink)
 
     @staticmethod
     def _pushes(arcs: DataFrame, active: DataFrame, levels: DataFrame) -> DataFrame:
@@ -571,12 +589,12 @@ class Graph:
         open_arcs = arcs.where("room > 0").join(own, "src").join(levels.select(F.col("id").alias("dst"), "level"), "dst").where("high = level + 1")
         before = Window.partitionBy("src").orderBy("dst").rowsBetween(Window.unboundedPreceding, -1)
         left = F.col("excess") - F.coalesce(F.sum("room").over(before), F.lit(0))
-        return cut(open_arcs.withColumn("sent", F.least("room", left)).where("sent > 0").select("src", "dst", "sent"))
+        return stored(open_arcs.withColumn("sent", F.least("room", left)).where("sent > 0").select("src", "dst", "sent"))
 
     @staticmethod
     def _steps(arcs: DataFrame, end, without=None) -> DataFrame:
         """id, level: how many edges with room lead from each vertex to `end`."""
-        ways = cut(arcs.where("room > 0").select(F.col("src").alias("id"), F.col("dst").alias("to")))
+        ways = arcs.where("room > 0").select(F.col("src").alias("id"), F.col("dst").alias("to"))
         seen = front = arcs.sparkSession.createDataFrame([(end, 0)], f"id {arcs.schema['src'].dataType.simpleString()}, level int")
         level = 0
         while True:
@@ -584,19 +602,24 @@ class Graph:
             step = ways.join(front.select(F.col("id").alias("to")), "to").select("id").distinct().join(seen, "id", "left_anti")
             if without is not None:
                 step = step.join(without, "id", "left_anti")
-            front = cut(step.select("id", F.lit(level).alias("level")))
+            last, front = front, stored(step.select("id", F.lit(level).alias("level")))
+            drop_stored(last)
             if front.isEmpty():
+                drop_stored(front)
                 return seen
-            seen = cut(seen.unionByName(front))
+            last, seen = seen, stored(seen.unionByName(front))
+            drop_stored(last)
 
-    def _levels(self, arcs: DataFrame, source, sink) -> DataFrame:
+    def _levels(self, arcs: DataFrame, source, sink, high: int) -> DataFrame:
         """id, level: the source is as high as there are vertices, what leads to the sink only
         through it is higher."""
-        high = self.vertices.count()
         start = self.spark.createDataFrame([(source,)], f"id {arcs.schema['src'].dataType.simpleString()}")
         down = self._steps(arcs, sink, start)
-        up = self._steps(arcs, source, down).withColumn("level", F.col("level") + high)
-        return cut(down.unionByName(up))
+        up = self._steps(arcs, source, down)
+        levels = stored(down.unionByName(up.withColumn("level", F.col("level") + high)))
+        for old in (down, up):
+            drop_stored(old)
+        return levels
 
     def _augmenting(self, residual: DataFrame, source, sink) -> DataFrame | None:
         kind = self.vertices.schema["id"].dataType.simpleString()

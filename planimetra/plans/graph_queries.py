@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import Graph
 from ..operators.ordered import placed
 from ..operators.tree import Tree
-from ..session import cut
+from ..session import cut, stored
 from ..sources import tables as tb
 from .registry import query, r4
 
@@ -237,10 +237,13 @@ def graph_push_relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def graph_supply_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many lines half of each supplier's parts can fill, two a part: over all pairs of supplier and part."""
-    pairs = tb.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dst")).distinct()
-    supply = pairs.groupBy(F.col("src").alias("dst")).agg(F.floor(F.count("*") / 2).alias("weight")).select(F.lit("from").alias("src"), "dst", "weight")
-    demand = pairs.select(F.col("dst").alias("src")).distinct().select("src", F.lit("to").alias("dst"), F.lit(2).cast("long").alias("weight"))
-    return _weighed(Graph(pairs.withColumn("weight", F.lit(1).cast("long")).unionByName(supply).unionByName(demand)), "from", "to")
+    # suppliers are even numbers, parts odd ones; whole numbers take less room than names
+    own = lambda key, rest: (2 * F.col(key).cast("long") + rest)
+    pairs = stored(tb.table(spark, sf_dir, "lineitem").select(own("l_suppkey", 0).alias("src"), own("l_partkey", 1).alias("dst")).distinct())
+    start, end = -(2**63), 2**63 - 1
+    supply = pairs.groupBy(F.col("src").alias("dst")).agg(F.floor(F.count("*") / 2).alias("weight")).select(F.lit(start).alias("src"), "dst", "weight")
+    demand = pairs.select(F.col("dst").alias("src")).distinct().select("src", F.lit(end).alias("dst"), F.lit(2).cast("long").alias("weight"))
+    return _weighed(Graph(pairs.withColumn("weight", F.lit(1).cast("long")).unionByName(supply).unionByName(demand)), start, end)
 
 
 @query()
