@@ -68,6 +68,9 @@ class Graph:
         self.given, self.directed = edges.select("src", "dst", "weight"), directed
         ends = edges.select(F.col("src").alias("id")).union(edges.select("dst"))
         self.vertices = (ends if vertices is None else vertices.select("id").union(ends)).distinct()
+        self._light: DataFrame | None = None
+        self._between: DataFrame | None = None
+        self._checked = False
 
     @property
     def spark(self) -> SparkSession:
@@ -118,12 +121,17 @@ class Graph:
     # shortest paths
 
     def _check_weights(self) -> None:
-        if not self.edges.where("weight < 0").isEmpty():
+        if not self._checked and not self.edges.where("weight < 0").isEmpty():
             raise ValueError("Negative cost edges are not allowed.")
+        self._checked = True
 
     def _lightest(self, edges: DataFrame | None = None) -> DataFrame:
-        """src, dst, weight, hops, last of the lightest edge of each pair; one without a weight isn't used."""
-        edges = self.edges if edges is None else edges
+        """src, dst, weight, hops, last of the lightest edge of each pair; one without a weight isn't used.
+        Those of the graph itself are stored once for all its searches."""
+        if edges is None:
+            if self._light is None:
+                self._light = self._lightest(self.edges)
+            return self._light
         light = edges.where("weight is not null").groupBy("src", "dst").agg(F.min(F.col("weight").cast("double")).alias("weight"))
         return stored(light.select("src", "dst", "weight", F.lit(1).alias("hops"), F.col("src").alias("last")))
 
@@ -165,7 +173,11 @@ class Graph:
         are one step in it, so its rounds don't grow with their lengths."""
         edges = self._lightest() if edges is None else edges
         ends = self.vertices.where(F.col("id").isin(start, goal) if goal is not None else F.col("id") == F.lit(start))
-        runs, along = self._runs(edges, ends)
+        if edges is not self._light:
+            between = self._two_sided(edges)
+        else:
+            between = self._between = self._two_sided(edges) if self._between is None else self._between
+        runs, along = self._runs(edges, ends, between)
         width = edges.agg(F.avg("weight")).first()[0]
         found = self._search(self._from(start), runs, width, goal)
         if along is None:
@@ -176,14 +188,20 @@ class Graph:
         return stored(found.unionByName(inner.groupBy("source", F.col("dst").alias("id")).agg(F.min(way).alias("new")).select("source", "id", "new.*")))
 
     @staticmethod
-    def _runs(edges: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    def _two_sided(edges: DataFrame) -> DataFrame:
+        """id, a, b of the vertices with just two neighbours."""
+        edges = edges.where("src <> dst")
+        sides = edges.select(F.col("src").alias("id"), F.col("dst").alias("other")).union(edges.select("dst", "src")).distinct()
+        return stored(sides.groupBy("id").agg(F.count("*").alias("n"), F.min("other").alias("a"), F.max("other").alias("b")).where("n = 2").select("id", "a", "b"))
+
+    @staticmethod
+    def _runs(edges: DataFrame, ends: DataFrame, between: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         """Edges in which each run through vertices with just two neighbours (but the ends) is one,
         from src to dst with the weight and hops of all of it, and those that lead from the start of
         a run to each vertex inside; None if there is none. Each edge finds the start of its run by
         pointer doubling, in as many rounds as the longest run's length has binary digits."""
         edges = edges.where("src <> dst")
-        sides = edges.select(F.col("src").alias("id"), F.col("dst").alias("other")).union(edges.select("dst", "src")).distinct()
-        inner = stored(sides.groupBy("id").agg(F.count("*").alias("n"), F.min("other").alias("a"), F.max("other").alias("b")).where("n = 2").join(ends, "id", "left_anti").select("id", "a", "b"))
+        inner = stored(between.join(ends, "id", "left_anti"))
         if inner.isEmpty():
             return edges, None
         of = edges.join(inner.withColumnRenamed("id", "src"), "src", "left")
@@ -282,7 +300,8 @@ class Graph:
         or from it, differ by.
         """
         self._check_weights()
-        back = Graph(self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), self.vertices)
+        # without directions, ways back are the same ways
+        back = self if not self.directed else Graph(self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), self.vertices)
         all_ways = lambda graph, v: cut(graph._nearest(v).select("id", "dist"))
         reach, out, lower = all_ways(back, goal).withColumnRenamed("dist", "far"), self.vertices, [F.lit(0.0)]
         for k in range(count):

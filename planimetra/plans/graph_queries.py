@@ -260,7 +260,8 @@ _PART_STEPS = f"""with recursive {tb.PART_EDGES_SQL}, e as (select src, dst from
 @query(_PART_STEPS)
 def graph_a_star_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distance of the first and the last part in the graph of all parts, with landmarks for the estimate."""
-    graph = _parts(spark, sf_dir)
+    graph = Graph(stored(tb.part_edges(spark, sf_dir)), tb.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id")), directed=False)
+    graph.vertices = stored(graph.vertices)
     first, last = graph.given.agg(F.least(F.min("src"), F.min("dst")), F.greatest(F.max("src"), F.max("dst"))).first()
     found = graph.a_star(first, last, graph.landmark_bounds(last, 2))
     return found.select(F.lit(first).alias("start"), F.lit(last).alias("goal"), "dist")

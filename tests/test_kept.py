@@ -21,3 +21,19 @@ def test_flow_keeps_one_rounds_tables(spark):
     assert len(kept() - before) <= 2  # the edges, and what leads to the sink
     assert flows.where("dst = 4").agg(F.sum("flow")).first()[0] == 4
     assert 0 in {r.id for r in side.collect()}
+
+
+def test_searches_of_a_graph_share_its_edges(spark, monkeypatch):
+    """A search with landmarks worked out the lightest edges for each of them anew."""
+    made = []
+    monkeypatch.setattr(graphs, "stored", lambda df, real=graphs.stored: (made.append(tuple(df.columns)), real(df))[1])
+    edges = [(k, (k * k + 1) % 17, 1.0) for k in range(17)] + [(k, k + 1, 1.0) for k in range(16)]
+    graph = Graph(spark.createDataFrame(edges, "src long, dst long, weight double"), directed=False)
+    found = graph.a_star(0, 16, graph.landmark_bounds(16, 2)).first()
+    near = {k: {b for a, b, _ in edges if a == k} | {a for a, b, _ in edges if b == k} for k in range(17)}
+    level, front = 0, {0}
+    while 16 not in front:
+        level, front = level + 1, front | {b for a in front for b in near[a]}
+    assert found.dist == level == len(found.path)
+    assert made.count(("src", "dst", "weight", "hops", "last")) <= 1
+    assert made.count(("id", "a", "b")) <= 4  # once of all, then without the ends of each search
