@@ -25,7 +25,9 @@ def test_flow_keeps_one_rounds_tables(spark):
 
 def test_searches_of_a_graph_share_its_edges(spark, monkeypatch):
     """A search with landmarks worked out the lightest edges for each of them anew."""
-    made = []
+    made, worked = [], []
+    lightest = Graph._lightest
+    monkeypatch.setattr(Graph, "_lightest", lambda self, edges=None: (worked.append(1) if edges is not None else None, lightest(self, edges))[1])
     monkeypatch.setattr(graphs, "stored", lambda df, real=graphs.stored: (made.append(tuple(df.columns)), real(df))[1])
     edges = [(k, (k * k + 1) % 17, 1.0) for k in range(17)] + [(k, k + 1, 1.0) for k in range(16)]
     graph = Graph(spark.createDataFrame(edges, "src long, dst long, weight double"), directed=False)
@@ -35,5 +37,5 @@ def test_searches_of_a_graph_share_its_edges(spark, monkeypatch):
     while 16 not in front:
         level, front = level + 1, front | {b for a in front for b in near[a]}
     assert found.dist == level == len(found.path)
-    assert made.count(("src", "dst", "weight", "hops", "last")) <= 1
+    assert len(worked) == 1
     assert made.count(("id", "a", "b")) <= 4  # once of all, then without the ends of each search
