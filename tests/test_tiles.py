@@ -107,3 +107,17 @@ def test_only_stored_tables_are_dropped(spark, tmp_path):
     assert spark.read.parquet(str(mine)).count() == 3 and kept.count() == 4
     with pytest.raises(Exception, match="(?i)exist|not found"):
         gone.count()
+
+
+def test_table_rows_are_no_whole_tiles(spark, monkeypatch):
+    """Readers take thousands of table rows at a time: of tiles of half a megabyte that was gigabytes."""
+    from planimetra.operators import all_pairs as tiles
+
+    widest = []
+    real = tiles.stored
+    monkeypatch.setattr(tiles, "stored", lambda df: (out := real(df), widest.append(out.agg(F.max(F.size("cells"))).first()[0]) if "cells" in df.columns else None)[0])
+    edges = [(k, (k + 1) % 20, 1.0) for k in range(20)]
+    graph = Graph(spark.createDataFrame(edges, EDGES))
+    found = {(r.src, r.dst): r.dist for r in graph.floyd_warshall(8).collect()}
+    assert found == {(a, b): float((b - a) % 20) for a in range(20) for b in range(20)}
+    assert widest and max(widest) <= 8
